@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import decontamination, mixing, secrets, sharding, simhash, urls
 
-MODULES = (sharding, mixing)
+MODULES = (decontamination, secrets, simhash, sharding, urls, mixing)
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
