@@ -26,46 +26,52 @@ MIN_LITERAL = 0.5
 #: An alignment counts from this share of the item's windows, or from this many windows.
 COVERAGE, LONG_RUN = 0.5, 20
 
-NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
+NAME, NUM, UNIT = "\ue001", "\ue002", "\ue003"
 UNITS = (
     "mm cm m km in ft yd mi mg g kg lb oz ml l gal s sec min h hr ms day days week weeks month months year years hour hours minute minutes "
     "second seconds meter meters metre metres kilometer kilometers kilometre kilometres mile miles inch inches foot feet yard yards gram grams "
     "kilogram kilograms pound pounds ounce ounces liter liters litre litres gallon gallons percent dollar dollars euro euros cent cents "
     "degree degrees volt volts watt watts hz khz mhz ghz kb mb gb tb mph kph"
 ).split()
-PIECE = r"[.!?\n]|[\p{L}\p{M}]+|\p{Nd}+(?:[.,]\p{Nd}+)*"
+#: A capitalised word, or a run of them, after a word, number, comma or semicolon and one blank: inside a sentence.
+NAME_RE = r"\p{Lu}(?<=[\p{L}\p{Nd},;][ \t]\p{Lu})\p{Ll}+(?:[ \t]\p{Lu}\p{Ll}+)*"
+NUM_RE = r"[0-9]+(?:[.,][0-9]+)*"
+#: What stands between tokens: white space, punctuation and symbols of the common blocks.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\xBF\u2000-\u206F\u3000-\u303F]+"
 
 
-def template(p: Column) -> Column:
-    """Column: array of (c, v), the template tokens and, for placeholders, what fills them.
+def _marked(df: DataFrame, *ids: str) -> DataFrame:
+    """``ids``, text, and x: the text with its placeholders, in lower case."""
+    x = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), NAME_RE, f" {NAME} ")
+    x = F.regexp_replace(x, NUM_RE, f" {NUM} ")
+    unit = rf"({NUM} ?[ \t]?)(?i:{'|'.join(UNITS)})(?![\p{{L}}\p{{Nd}}])"
+    return df.select(*ids, "text", F.lower(F.regexp_replace(x, unit, f"$1 {UNIT} ")).alias("x"))
 
-    ``p`` must be a column that exists, not an expression: the lambda below reads it for every token.
-    """
-    units = F.split(F.lit(" ".join(UNITS)), " ")
 
-    def kind(x, i):
-        before = F.get(p, i - 1)
-        low = F.lower(x)
-        digit = lambda t: F.substring(t, 1, 1).between("0", "9")
-        first = F.coalesce(before, F.lit(".")).isin(".", "!", "?", "\n")
-        title = (low != x) & (F.substring(low, 2, 1_000_000) == F.substring(x, 2, 1_000_000)) & ~first
-        slot = F.when(digit(x), F.lit(NUM)).when(title, F.lit(NAME)).when(digit(F.coalesce(before, F.lit(""))) & F.array_contains(units, low), F.lit(UNIT))
-        mark = x.isin(".", "!", "?", "\n")
-        return F.when(~mark, F.struct(F.coalesce(slot, low).alias("c"), F.when(slot.isNotNull(), low).alias("v")))
+def _tokens(df: DataFrame, *ids: str) -> DataFrame:
+    """``ids``, text and c: the template's tokens."""
+    return _marked(df, *ids).select(*ids, "text", F.array_remove(F.split("x", BETWEEN), "").alias("c"))
 
-    return F.filter(F.transform(p, kind), lambda s: s.isNotNull())
 
+def _fills(text: Column, c: Column, start: Column, length: Column) -> Column:
+    """Column: what fills each token of the window, null for ordinary words.
 
-def _collapse(tokens: Column) -> Column:
-    """Column: runs of name placeholders as one, filled by the first."""
-    one = F.filter(tokens, lambda s, i: ~((s["c"] == NAME) & (F.coalesce(F.get(tokens, i - 1)["c"], F.lit("")) == NAME)))
-    return F.when(F.exists(tokens, lambda s: s["c"] == NAME), one).otherwise(tokens)
+    The k-th placeholder of a kind stands for the k-th match of that kind's pattern. Only windows that
+    matched are asked, so this may search the text anew.
+    """
+    names = F.regexp_extract_all(text, F.lit(NAME_RE), F.lit(0))
+    nameless = F.regexp_replace(text, NAME_RE, f" {NAME} ")
+    numbers = F.regexp_extract_all(nameless, F.lit(NUM_RE), F.lit(0))
+    numberless = F.regexp_replace(nameless, NUM_RE, f" {NUM} ")
+    units = F.regexp_extract_all(numberless, F.lit(rf"{NUM} ?[ \t]?((?i:{'|'.join(UNITS)}))(?![\p{{L}}\p{{Nd}}])"), F.lit(1))
+    win = F.slice(c, start, length)
 
+    def fill(x: Column, i: Column) -> Column:
+        nth = F.size(F.filter(F.slice(c, 1, start + i - 1), lambda y: y == x))
+        return F.when(x == NAME, F.get(names, nth)).when(x == NUM, F.get(numbers, nth)).when(x == UNIT, F.get(units, nth))
 
-def _tokens(df: DataFrame, *ids: str) -> DataFrame:
-    pieces = df.select(*ids, F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(PIECE), F.lit(0)).alias("p"))
-    step = pieces.select(*ids, template(F.col("p")).alias("t0"))
-    return step.select(*ids, _collapse(F.col("t0")).alias("t")).select(*ids, "t", F.col("t.c").alias("c"))
+    any_slot = F.arrays_overlap(win, F.array(F.lit(NAME), F.lit(NUM), F.lit(UNIT)))
+    return F.when(any_slot, F.transform(F.transform(win, fill), F.lower)).otherwise(F.transform(win, lambda x: F.lit(None).cast("string")))
 
 
 def _starts(c: Column, w) -> Column:
@@ -80,17 +86,16 @@ def benchmark_windows(items: DataFrame, w: int = WINDOW) -> DataFrame:
     as a name there, so windows at the start of an item are kept under both readings.
     """
     it = _tokens(items.where("text IS NOT NULL").dropDuplicates(["item_id", "text"]), "item_id").where(F.size("c") >= MIN_TOKENS)
-    head = F.get("t", 0)
-    plain = head["v"].isNull()
-    other = F.concat(F.array(F.struct(F.lit(NAME).alias("c"), head["c"].alias("v"))), F.slice("t", 2, 1_000_000))
-    both = it.select("item_id", F.explode(F.when(plain, F.array(F.col("t"), other)).otherwise(F.array("t"))).alias("t")).select("item_id", "t", F.col("t.c").alias("c"))
-    both = both.withColumn("len", F.least(F.size("c"), F.lit(w)))
-    win = both.select("item_id", "len", "t", F.greatest(F.size("c") - F.col("len") + 1, F.lit(1)).alias("item_windows"), F.explode(_starts(F.col("c"), F.col("len"))).alias("item_pos"))
-    cut = F.slice("t", F.col("item_pos"), F.col("len"))
-    win = win.select("item_id", "item_pos", "len", "item_windows", cut.alias("win")).withColumn("words", F.col("win.c"))
+    it = it.withColumn("len", F.least(F.size("c"), F.lit(w))).withColumn("item_windows", F.size("c") - F.col("len") + 1)
+    win = it.withColumn("item_pos", F.explode_outer(_starts(F.col("c"), F.col("len"))))
+    win = win.select("item_id", "item_pos", "len", "item_windows", F.slice("c", F.col("item_pos"), F.col("len")).alias("words"), _fills(F.col("text"), F.col("c"), F.col("item_pos"), F.col("len")).alias("slots"))
+    first = F.get("words", 0)
+    head = win.where((F.col("item_pos") == 1) & ~first.isin(NUM, NAME, UNIT))
+    rest = F.slice("words", 2, w)
+    as_name = head.select("item_id", "item_pos", "len", "item_windows", F.concat(F.array(F.lit(NAME)), rest).alias("words"), F.concat(F.array(first), F.slice("slots", 2, w)).alias("slots"))
+    win = win.unionByName(as_name)
     literal = F.size(F.filter("words", lambda x: ~x.isin(NUM, NAME, UNIT)))
-    win = win.where(literal >= F.col("len") * F.lit(MIN_LITERAL))
-    return win.select("item_id", "item_pos", "len", "item_windows", "words", F.col("win.v").alias("slots"), F.xxhash64("words").alias("key")).distinct()
+    return win.where(literal >= F.col("len") * F.lit(MIN_LITERAL)).withColumn("key", F.xxhash64("words")).distinct()
 
 
 def find(docs: DataFrame, items: DataFrame, w: int = WINDOW) -> DataFrame:
@@ -111,14 +116,17 @@ def find(docs: DataFrame, items: DataFrame, w: int = WINDOW) -> DataFrame:
 
     hashes = [hashed(n) for n in lens]
     c_keys = F.concat(*hashes) if len(hashes) > 1 else hashes[0]
+    # explode_outer: for explode the optimizer would add a filter that evaluates the hashes once more.
     if small(bench, BROADCAST_ROWS // 8):
-        hits = tokens.select("doc_id", "t", F.explode(c_keys).alias("w")).select("doc_id", "t", F.col("w.p").alias("p"), F.col("w.key").alias("key")).join(F.broadcast(bench), "key")
+        at = tokens.select("doc_id", "text", "c", F.explode_outer(c_keys).alias("w")).select("doc_id", "text", "c", F.col("w.p").alias("p"), F.col("w.key").alias("key"))
+        hits = at.join(F.broadcast(bench), "key")
     else:
-        at = tokens.select("doc_id", F.explode(c_keys).alias("w")).select("doc_id", F.col("w.p").alias("p"), F.col("w.key").alias("key")).join(bench, "key")
-        hits = at.join(tokens.select(F.col("doc_id").alias("d"), "t"), F.col("doc_id").eqNullSafe(F.col("d"))).drop("d")
-    mine = F.slice("t", F.col("p"), F.col("len"))
-    hits = hits.select("doc_id", "item_id", "item_pos", "item_windows", "p", "words", "slots", mine.alias("win")).where(F.col("win.c") == F.col("words"))
-    fills = F.filter(F.arrays_zip(F.col("slots").alias("a"), F.col("win.v").alias("b")), lambda x: x["a"].isNotNull())
+        at = tokens.select("doc_id", F.explode_outer(c_keys).alias("w")).select("doc_id", F.col("w.p").alias("p"), F.col("w.key").alias("key")).join(bench, "key")
+        hits = at.join(tokens.select(F.col("doc_id").alias("d"), "text", "c"), F.col("doc_id").eqNullSafe(F.col("d"))).drop("d")
+    hits = hits.where(F.slice("c", F.col("p"), F.col("len")) == F.col("words"))
+    mine = _fills(F.col("text"), F.col("c"), F.col("p"), F.col("len"))
+    hits = hits.select("doc_id", "item_id", "item_pos", "item_windows", "p", "slots", mine.alias("mine"))
+    fills = F.filter(F.arrays_zip(F.col("slots").alias("a"), F.col("mine").alias("b")), lambda x: x["a"].isNotNull())
     fills = F.transform(fills, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))
     lines = hits.groupBy("doc_id", "item_id", "item_windows", (F.col("p") - F.col("item_pos")).alias("offset")).agg(
         F.count_distinct("item_pos").alias("windows"), F.array_distinct(F.flatten(F.collect_set(fills))).alias("fills")
