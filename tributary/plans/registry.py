@@ -1,6 +1,400 @@
-"""Registered queries and their oracle SQL."""
+"""Registered queries and their oracle SQL (DuckDB), over whole tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import bits, geo, stats
+from ..operators import metrics, monitoring, partitioners, sketches, taxi, tpch, windows
+from ..sources import sinks
+from ..sources.readers import parquet
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLE[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def cluster_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as task events."""
+    e = parquet(spark, sf_dir, "events")
+    return e.select(F.col("ts").alias("timestamp"), F.col("event_id").alias("seq"), F.col("event_type").alias("scheduling_class"), F.col("user_id").alias("job_id"), F.col("value").alias("cpu_request"))
+
+
+def taxi_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as rides, cells by fixed rules on the event's number."""
+    at = lambda m: (1 + F.pmod(F.col("event_id") * m, F.lit(20))).cast("int")
+    return parquet(spark, sf_dir, "events").select(
+        F.col("user_id").alias("medallion"), F.col("ts").alias("dropoff_datetime"), F.col("event_id").alias("seq"), at(7).alias("pickup_x"), at(13).alias("pickup_y"),
+        at(11).alias("dropoff_x"), at(17).alias("dropoff_y"), F.col("value").alias("fare_amount"), (F.col("value") * 0.1).alias("tip_amount"),
+    )
+
+
+TAXI = """rides AS (SELECT user_id AS medallion, ts, event_id AS seq, value + value * 0.1 AS paid,
+  (1 + event_id * 7 % 20) || '.' || (1 + event_id * 13 % 20) AS pickup, (1 + event_id * 11 % 20) || '.' || (1 + event_id * 17 % 20) AS dropoff FROM events)"""
+
+
+def _anchored_sql(seconds: int) -> str:
+    """Anchored windows of ``events`` by jump pointers; ``marked`` has window_start (seconds) per event."""
+    return f"""jumps AS (SELECT t, min(t) OVER (ORDER BY t RANGE BETWEEN {seconds} FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt
+    FROM (SELECT DISTINCT CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events)),
+w AS (SELECT min(t) AS s FROM jumps UNION ALL SELECT j.nxt FROM w JOIN jumps j ON j.t = w.s WHERE j.nxt IS NOT NULL),
+marked AS (SELECT e.*, w.s AS window_start FROM (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events) e ASOF JOIN w ON e.t >= w.s)"""
+
+
+# TPC-H
+
+_Q1 = """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price,
+ round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS sum_charge,
+ round(avg(l_quantity), 4) AS avg_qty, round(avg(l_extendedprice), 4) AS avg_price, round(avg(l_discount), 4) AS avg_disc, count(*) AS count_order
+ FROM lineitem WHERE {} GROUP BY 1, 2 ORDER BY 1, 2"""
+_Q3 = """SELECT l_orderkey, o_orderdate, o_shippriority, revenue FROM (SELECT *, rank() OVER (ORDER BY revenue DESC) AS r FROM (
+ SELECT l_orderkey, o_orderdate, 0 AS o_shippriority, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey
+ WHERE c_mktsegment = 'BUILDING' AND {} GROUP BY 1, 2)) WHERE r <= 20"""
+
+
+@query(_Q1.format("l_shipdate <= TIMESTAMP '1998-11-29'"))
+def tpch_q1(spark, d):
+    return tpch.pricing_summary(parquet(spark, d, "lineitem"), tpch.q1_keep())
+
+
+@query(_Q1.format("year(l_shipdate) <= 1998"))
+def tpch_q1_compat(spark, d):
+    return tpch.pricing_summary(parquet(spark, d, "lineitem"), tpch.q1_keep(compat=True))
+
+
+@query(_Q3.format("o_orderdate < TIMESTAMP '1995-03-15' AND l_shipdate > TIMESTAMP '1995-03-15'"))
+def tpch_q3(spark, d):
+    return tpch.shipping_priority(*[parquet(spark, d, t) for t in ("customer", "orders", "lineitem")])
+
+
+@query(_Q3.format("day(o_orderdate) < 15 AND day(l_shipdate) > 15"))
+def tpch_q3_compat(spark, d):
+    return tpch.shipping_priority(*[parquet(spark, d, t) for t in ("customer", "orders", "lineitem")], compat=True)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice, o_custkey, o_orderdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def join_lineitem_orders(spark, d):
+    out = tpch.lineitem_orders(parquet(spark, d, "lineitem"), parquet(spark, d, "orders"))
+    return out.select("l_orderkey", "l_linenumber", "l_extendedprice", "o_custkey", "o_orderdate")
+
+
+@query("SELECT c_mktsegment, count(*) AS lines, round(sum(l_extendedprice), 2) AS price FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+def join_customer_lineitem_orders(spark, d):
+    out = tpch.customer_lineitem_orders(*[parquet(spark, d, t) for t in ("lineitem", "orders", "customer")])
+    return out.groupBy("c_mktsegment").agg(F.count("*").alias("lines"), F.round(F.sum("l_extendedprice"), 2).alias("price"))
+
+
+@query("SELECT o_orderkey, o_orderdate, 0 AS o_shippriority FROM orders WHERE o_orderdate < TIMESTAMP '1995-03-15' AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def q3_semi_join_orders(spark, d):
+    return tpch.semi_join_orders(parquet(spark, d, "customer"), parquet(spark, d, "orders"), F.col("o_orderdate") < F.lit(tpch.Q3_DATE).cast("timestamp"))
+
+
+# Cluster monitoring
+
+@query("""SELECT * FROM (SELECT event_type AS scheduling_class, CAST(arg_min(ts, event_id) AS VARCHAR) AS timestamp, round(sum(value), 2) AS total_cpu
+ FROM events GROUP BY 1) ORDER BY floor(total_cpu) DESC, scheduling_class LIMIT 10""")
+def cluster_total_cpu(spark, d):
+    return monitoring.total_cpu(cluster_view(spark, d)).withColumn("timestamp", F.col("timestamp").cast("string"))
+
+
+@query("""SELECT job_id, timestamp, sum_cpu, "count", mean_cpu FROM (SELECT *, rank() OVER (ORDER BY mean_cpu DESC) AS r FROM (SELECT user_id AS job_id, CAST(arg_min(ts, event_id) AS VARCHAR) AS timestamp,
+ round(sum(value), 2) AS sum_cpu, count(*) AS "count", round(avg(value), 4) AS mean_cpu FROM events GROUP BY 1)) WHERE r <= 10""")
+def cluster_mean_cpu(spark, d):
+    return monitoring.mean_cpu(cluster_view(spark, d)).withColumn("timestamp", F.col("timestamp").cast("string"))
+
+
+# Taxi
+
+@query(f"""WITH {TAXI}, n AS (SELECT pickup || '-' || dropoff AS route, count(*) AS "count" FROM rides GROUP BY 1)
+ SELECT route, "count" FROM (SELECT *, rank() OVER (ORDER BY "count" DESC) AS r FROM n) WHERE r <= 10""")
+def taxi_frequent_routes(spark, d):
+    return taxi.frequent_routes(taxi_view(spark, d))
+
+
+@query(f"WITH {TAXI} SELECT medallion, arg_max(dropoff, (ts, seq)) AS cell FROM rides GROUP BY 1")
+def taxi_last_dropoff(spark, d):
+    return taxi.last_dropoffs(taxi_view(spark, d))
+
+
+@query(f"WITH {TAXI} SELECT pickup AS cell, round(median(paid), 4) AS median_fare FROM rides GROUP BY 1")
+def taxi_median_fare(spark, d):
+    return taxi.median_fares(taxi_view(spark, d))
+
+
+_AREAS = f"""WITH {TAXI}, last AS (SELECT medallion, arg_max(dropoff, (ts, seq)) AS cell FROM rides GROUP BY 1),
+ empty AS (SELECT cell, count(*) AS empty_taxis FROM last GROUP BY 1), fares AS (SELECT pickup AS cell, round(median(paid), 4) AS median_fare FROM rides GROUP BY 1),
+ p AS (SELECT e.cell, COALESCE(f.median_fare, 0.0) AS median_fare, empty_taxis, round(COALESCE(f.median_fare, 0.0) / empty_taxis, 4) AS profit FROM empty e {{}} JOIN fares f ON e.cell = f.cell)
+ SELECT cell, median_fare, empty_taxis, profit FROM (SELECT *, rank() OVER (ORDER BY profit DESC) AS r FROM p) WHERE r <= 10"""
+
+
+@query(_AREAS.format("INNER"))
+def taxi_profitable_areas_inner(spark, d):
+    return taxi.profitable_areas(taxi_view(spark, d), outer=False)
+
+
+@query(_AREAS.format("LEFT"))
+def taxi_profitable_areas_outer(spark, d):
+    return taxi.profitable_areas(taxi_view(spark, d))
+
+
+# Windows
+
+_SECONDS = F.unix_timestamp
+
+
+@query(f"""WITH RECURSIVE {_anchored_sql(60000)} SELECT window_start, event_type AS scheduling_class, CAST(arg_min(ts, event_id) AS VARCHAR) AS timestamp, round(sum(value), 2) AS total_cpu FROM marked GROUP BY 1, 2""")
+def window_anchored_cluster(spark, d):
+    e = windows.anchored(cluster_view(spark, d), F.unix_timestamp("timestamp"), 60000)
+    return monitoring.total_cpu(e, 10, "window_start").withColumn("timestamp", F.col("timestamp").cast("string"))
+
+
+@query(f"""WITH RECURSIVE {_anchored_sql(43200)} SELECT window_start, user_id AS job_id, CAST(arg_min(ts, event_id) AS VARCHAR) AS timestamp, round(sum(value), 2) AS sum_cpu, count(*) AS "count", round(avg(value), 4) AS mean_cpu FROM marked GROUP BY 1, 2""")
+def window_anchored_mean_cpu(spark, d):
+    e = windows.anchored(cluster_view(spark, d), F.unix_timestamp("timestamp"), 43200)
+    return monitoring.mean_cpu(e, 10, "window_start").withColumn("timestamp", F.col("timestamp").cast("string"))
+
+
+@query(f"""WITH RECURSIVE {_anchored_sql(1800)} SELECT window_start, (1 + event_id * 7 % 20) || '.' || (1 + event_id * 13 % 20) || '-' || (1 + event_id * 11 % 20) || '.' || (1 + event_id * 17 % 20) AS route, count(*) AS "count" FROM marked GROUP BY 1, 2""")
+def window_anchored_routes(spark, d):
+    return taxi.frequent_routes(windows.anchored(taxi_view(spark, d), F.unix_timestamp("dropoff_datetime"), 1800), 10, "window_start")
+
+
+@query(f"""WITH RECURSIVE {_anchored_sql(2700)},
+ r AS (SELECT window_start, user_id AS medallion, ts, event_id AS seq, value + value * 0.1 AS paid, (1 + event_id * 7 % 20) || '.' || (1 + event_id * 13 % 20) AS pickup, (1 + event_id * 11 % 20) || '.' || (1 + event_id * 17 % 20) AS dropoff FROM marked),
+ last AS (SELECT window_start, medallion, arg_max(dropoff, (ts, seq)) AS cell FROM r GROUP BY 1, 2), empty AS (SELECT window_start, cell, count(*) AS empty_taxis FROM last GROUP BY 1, 2),
+ fares AS (SELECT window_start, pickup AS cell, round(median(paid), 4) AS median_fare FROM r GROUP BY 1, 2)
+ SELECT e.window_start, e.cell, COALESCE(f.median_fare, 0.0) AS median_fare, empty_taxis, round(COALESCE(f.median_fare, 0.0) / empty_taxis, 4) AS profit
+ FROM empty e LEFT JOIN fares f ON e.window_start = f.window_start AND e.cell = f.cell""")
+def window_anchored_profit(spark, d):
+    return taxi.profitable_areas(windows.anchored(taxi_view(spark, d), F.unix_timestamp("dropoff_datetime"), 2700), 10, True, "window_start")
+
+
+@query("""WITH s AS (SELECT *, CAST(user_id % 8 AS INTEGER) AS task, unnest(generate_series(0, 2)) AS k FROM events),
+ p AS (SELECT task, user_id, (CAST(floor(epoch(ts) / 600) AS BIGINT) - k) * 600 AS window_start FROM s)
+ SELECT window_start, task, count(*) AS tuples, CAST(sum(length(CAST(user_id AS VARCHAR))) AS BIGINT) AS bytes, count(DISTINCT user_id) AS keys FROM p GROUP BY 1, 2""")
+def window_sliding_load(spark, d):
+    e = parquet(spark, d, "events").withColumn("task", F.pmod("user_id", F.lit(8)).cast("int"))
+    return windows.sliding_load(e, "ts", "user_id", "task").withColumn("window_start", F.unix_timestamp("window_start"))
+
+
+# Partition strategies. Streams are eight sources that fold side by side.
+
+def _sources(spark, d):
+    return parquet(spark, d, "events").select("event_id", "user_id", "event_type", "value", F.pmod("event_id", F.lit(8)).cast("int").alias("source"))
+
+
+@query("SELECT source, task, count(*) AS n, sum(event_id) AS ids FROM (SELECT CAST(event_id % 8 AS INTEGER) AS source, event_id, CAST((row_number() OVER (PARTITION BY event_id % 8 ORDER BY event_id) - 1) % 16 AS INTEGER) AS task FROM events) GROUP BY 1, 2")
+def part_round_robin(spark, d):
+    return partitioners.assign(_sources(spark, d), "sh", 16, "user_id", "event_id", ("source",)).groupBy("source", "task").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+def _invariants(df: DataFrame, n: int, most: int) -> DataFrame:
+    """One row: tuples, keys, whether tasks are in range and no key of a source is on more than ``most`` tasks."""
+    per = df.groupBy("source", "user_id").agg(F.count("*").alias("n"), F.count_distinct("task").alias("tasks"), F.min("task").alias("lo"), F.max("task").alias("hi"))
+    return per.agg(F.sum("n").alias("tuples"), F.count("*").alias("keys"), (F.max("tasks") <= most).alias("within"), ((F.min("lo") >= 0) & (F.max("hi") < n)).alias("in_range"))
+
+
+_INV = "SELECT CAST(sum(n) AS BIGINT) AS tuples, count(*) AS keys, true AS within, true AS in_range FROM (SELECT event_id % 8 AS s, user_id, count(*) AS n FROM events GROUP BY 1, 2)"
+
+
+def _strategy(name: str, most: int):
+    def run(spark, d):
+        return _invariants(partitioners.assign(_sources(spark, d), name, 16, "user_id", "event_id", ("source",)), 16, most)
+
+    return run
+
+
+_MOST = {"fld": 1, "pk": 2, "m-pk": 5, "cn": 2, "chll": 2, "ln": 2, "lhll": 2, "an": 1, "ahll": 2, "can": 1, "m-an": 1, "m-can": 1}
+for _name, _most in _MOST.items():
+    query(_INV, f"part_{_name.replace('-', '_')}_invariants")(_strategy(_name, _most))
+
+
+@query("SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1")
+def part_two_phase_agg(spark, d):
+    """Partial sums per task of a key-splitting strategy, then the merge: equal to the plain aggregate."""
+    t = partitioners.assign(_sources(spark, d), "pk", 16, "user_id", "event_id", ("source",))
+    partial = t.groupBy("task", "user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return partitioners.merged(partial, ["user_id"], {"n": F.sum, "total": lambda c: F.round(F.sum(c), 2)})
+
+
+@query("SELECT count(*) AS tuples, count(DISTINCT user_id) AS keys, true AS affine FROM events")
+def part_first_sight(spark, d):
+    t = partitioners.first_sight(_sources(spark, d), "an", 16, "user_id", "event_id")
+    per = t.groupBy("user_id").agg(F.count("*").alias("n"), F.count_distinct("task").alias("tasks"))
+    return per.agg(F.sum("n").alias("tuples"), F.count("*").alias("keys"), (F.max("tasks") == 1).alias("affine"))
+
+
+@query("SELECT CAST(user_id % 16 AS INTEGER) AS task, min(event_id) AS event_id FROM events GROUP BY 1")
+def part_shed_first(spark, d):
+    e = parquet(spark, d, "events").select("event_id", F.pmod("user_id", F.lit(16)).cast("int").alias("task"))
+    return partitioners.shed_first(e, "event_id").select("task", "event_id")
+
+
+@query("""WITH e AS (SELECT event_id % 8 AS source, user_id % 16 AS task, event_id FROM events), n AS (SELECT source, count(DISTINCT task) AS n FROM e GROUP BY 1),
+ r AS (SELECT e.source, n.n, row_number() OVER (PARTITION BY e.source ORDER BY event_id) AS i, row_number() OVER (PARTITION BY e.source, task ORDER BY event_id) AS own FROM e JOIN n ON e.source = n.source)
+ SELECT CAST(source AS INTEGER) AS source, count(*) AS kept FROM r WHERE own <= ceil(i / CAST(n AS DOUBLE)) GROUP BY 1""")
+def part_shed_mean(spark, d):
+    e = _sources(spark, d).select("source", "event_id", F.pmod("user_id", F.lit(16)).cast("int").alias("task"))
+    return partitioners.shed_above_mean(e, "event_id", ("source",)).groupBy("source").agg(F.count("*").alias("kept"))
+
+
+@query()
+def random_shed(spark, d):
+    e = parquet(spark, d, "events").select("event_id", F.pmod("user_id", F.lit(16)).cast("int").alias("task"))
+    return partitioners.shed_heaviest(e).groupBy("task").agg(F.count("*").alias("kept"))
+
+
+@query("SELECT task, count(*) AS n FROM (SELECT CAST(user_id % 16 AS INTEGER) AS task FROM events) GROUP BY 1")
+def part_placed(spark, d):
+    """The task number as physical partition: no further exchange for the count per task."""
+    e = parquet(spark, d, "events").select(F.pmod("user_id", F.lit(16)).cast("int").alias("task"))
+    return partitioners.placed(e, 16).groupBy("task").agg(F.count("*").alias("n"))
+
+
+# Imbalance
+
+_LOADS = """WITH e AS (SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, user_id % 16 AS task, user_id FROM events), g AS (SELECT day, t AS task FROM (SELECT DISTINCT day FROM e), range(16) r(t)),
+ l AS (SELECT g.day, g.task, count(e.task) AS tuples, count(DISTINCT e.user_id) AS keys FROM g LEFT JOIN e ON g.day = e.day AND g.task = e.task GROUP BY 1, 2)
+ SELECT day, round(max({c}) - avg({c}), 4) AS {c}_imbalance, max({c}) AS max_{c}, min({c}) AS min_{c} FROM l GROUP BY 1"""
+
+
+def _daily(spark, d):
+    e = parquet(spark, d, "events").select(F.floor(F.unix_timestamp("ts") / 86400).alias("day"), F.pmod("user_id", F.lit(16)).cast("int").alias("task"), "user_id")
+    return metrics.imbalance(metrics.task_loads(e, 16, "user_id", "day"), "day")
+
+
+@query(_LOADS.format(c="tuples"))
+def imbalance_tuple(spark, d):
+    return _daily(spark, d).select("day", "tuples_imbalance", "max_tuples", "min_tuples")
+
+
+@query(_LOADS.format(c="keys"))
+def imbalance_key(spark, d):
+    return _daily(spark, d).select("day", "keys_imbalance", "max_keys", "min_keys")
+
+
+@query("SELECT user_id, count(DISTINCT event_id % 16) AS tasks FROM events GROUP BY 1 HAVING tasks > 1")
+def replicated_keys(spark, d):
+    e = parquet(spark, d, "events").select("user_id", F.pmod("event_id", F.lit(16)).cast("int").alias("task"))
+    return metrics.replicated(e, "user_id")
+
+
+# Sketches
+
+@query("SELECT event_type, count(DISTINCT user_id) AS keys FROM events GROUP BY 1")
+def distinct_exact(spark, d):
+    return parquet(spark, d, "events").groupBy("event_type").agg(F.count_distinct("user_id").alias("keys"))
+
+
+_WITHIN = "SELECT event_type, count(DISTINCT user_id) AS keys, true AS within FROM events GROUP BY 1"
+
+
+def _within(spark, d, estimate):
+    e = parquet(spark, d, "events")
+    exact = e.groupBy("event_type").agg(F.count_distinct("user_id").alias("keys"))
+    return exact.join(estimate(e, "event_type", "user_id"), "event_type").select("event_type", "keys", (F.abs(F.col("estimate") - F.col("keys")) <= F.col("keys") * 0.06 + 2).alias("within"))
+
+
+@query(_WITHIN)
+def distinct_hll_within_bound(spark, d):
+    return _within(spark, d, sketches.hll_distinct)
+
+
+@query(_WITHIN)
+def distinct_hip_within_bound(spark, d):
+    return _within(spark, d, sketches.hip_distinct)
+
+
+@query("SELECT event_type, true AS grows FROM events GROUP BY 1")
+def distinct_what_if(spark, d):
+    """HLL estimates as if one unseen value were added: never smaller, about one more."""
+    e = parquet(spark, d, "events").groupBy("event_type").agg(F.hll_sketch_agg("user_id", F.lit(12)).alias("s"), F.hll_sketch_agg(F.lit(-1).cast("long"), F.lit(12)).alias("one"))
+    out = sketches.hll_what_if(e.withColumn("now", F.hll_sketch_estimate("s")), F.col("s"), F.col("one"))
+    return out.select("event_type", (F.col("what_if") - F.col("now")).between(0, 2).alias("grows"))
+
+
+# Functions
+
+@query("""WITH v AS (SELECT event_type, list_sort(list(round(value, 2))) AS a, count(*) AS n FROM events GROUP BY 1)
+ SELECT event_type, """ + ", ".join(
+    f"round(CASE WHEN round({k} * n, 9) = floor(round({k} * n, 9)) THEN (a[CAST(least({k} * n, n - 1) AS BIGINT) + 1] + a[CAST(least({k} * n + 1, n - 1) AS BIGINT) + 1]) / 2 ELSE a[CAST(least(ceil({k} * n), n - 1) AS BIGINT) + 1] END, 4) AS {c}"
+    for k, c in ((0.5, "p50"), (0.9, "p90"), (0.99, "p99"))
+) + " FROM v")
+def percentile_ref(spark, d):
+    v = parquet(spark, d, "events").groupBy("event_type").agg(F.sort_array(F.collect_list(F.round("value", 2))).alias("a"))
+    return v.select("event_type", *[F.round(stats.percentile(F.col("a"), k), 4).alias(c) for k, c in ((0.5, "p50"), (0.9, "p90"), (0.99, "p99"))])
+
+
+_POINT = "41.474937 - (event_id % 1000) * 0.0011 AS lat, -74.913585 + (event_id % 777) * 0.0013 AS lon"
+
+
+def _points(spark, d):
+    e = F.col("event_id")
+    return parquet(spark, d, "events").select("event_id", (F.lit(41.474937) - F.pmod(e, F.lit(1000)) * 0.0011).alias("lat"), (F.lit(-74.913585) + F.pmod(e, F.lit(777)) * 0.0013).alias("lon"))
+
+
+@query(f"""SELECT event_id, round(2 * 6371000.0 * asin(sqrt(pow(sin((radians(lat) - radians(41.474937)) / 2), 2) + cos(radians(41.474937)) * cos(radians(lat)) * pow(sin((radians(lon) - radians(-74.913585)) / 2), 2))), 2) AS metres
+ FROM (SELECT event_id, {_POINT} FROM events)""")
+def geo_distance(spark, d):
+    return _points(spark, d).select("event_id", F.round(geo.distance(F.lit(geo.GRID_LAT), F.lit(geo.GRID_LON), F.col("lat"), F.col("lon")), 2).alias("metres"))
+
+
+@query(f"""SELECT event_id, round(degrees(asin(s)), 6) AS to_lat, round(degrees(radians(lon) + atan2(sin(radians(90.0)) * sin(d) * cos(radians(lat)), cos(d) - sin(radians(lat)) * s)), 6) AS to_lon
+ FROM (SELECT *, sin(radians(lat)) * cos(d) + cos(radians(lat)) * sin(d) * cos(radians(90.0)) AS s FROM (SELECT event_id, {_POINT}, 500.0 / 6371000.0 AS d FROM events))""")
+def geo_destination(spark, d):
+    lat, lon = geo.destination(F.col("lat"), F.col("lon"), F.lit(500.0), F.lit(90.0))
+    return _points(spark, d).select("event_id", F.round(lat, 6).alias("to_lat"), F.round(lon, 6).alias("to_lon"))
+
+
+@query(f"""SELECT event_id, CASE WHEN x BETWEEN 1 AND 300 THEN x END AS x, CASE WHEN y BETWEEN 1 AND 300 THEN y END AS y FROM (SELECT event_id,
+ CAST(floor((lon - (-74.913585)) * CAST(111194.92664455873 AS DOUBLE) * cos(radians(lat)) / 500.0 + 1.5) AS INTEGER) AS x, CAST(floor((41.474937 - lat) * CAST(111194.92664455873 AS DOUBLE) / 500.0 + 1.5) AS INTEGER) AS y
+ FROM (SELECT event_id, {_POINT} FROM events))""")
+def geo_cell(spark, d):
+    x, y = geo.cell(F.col("lat"), F.col("lon"), 500.0, 300)
+    return _points(spark, d).select("event_id", x.alias("x"), y.alias("y"))
+
+
+@query("SELECT event_id, true AS inside FROM events")
+def geo_square(spark, d):
+    """Every point lies in the square around it."""
+    p = _points(spark, d)
+    return p.select("event_id", geo.inside(F.col("lat"), F.col("lon"), geo.square(F.col("lat"), F.col("lon"), 500.0)).alias("inside"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id = 0 THEN 0 ELSE event_id & -event_id END AS lowest, CASE WHEN event_id = 0 THEN 0 ELSE CAST(1 AS BIGINT) << CAST(floor(log2(event_id)) AS BIGINT) END AS highest,
+ event_id & 240 AS middle, CAST(bit_count(event_id) AS INTEGER) AS ones, CASE WHEN event_id = 0 THEN 64 ELSE CAST(log2(event_id & -event_id) AS INTEGER) END AS zeros,
+ CAST(list_sum(list_transform(range(32), lambda b: ((event_id >> b) & 1) << (31 - b))) AS BIGINT) AS reversed FROM events""")
+def bit_functions(spark, d):
+    x = F.col("event_id")
+    return parquet(spark, d, "events").select(
+        x, bits.lowest_bit(x).alias("lowest"), bits.highest_bit(x).alias("highest"), bits.isolate(x, 4, 4).alias("middle"), F.bit_count(x).alias("ones"), bits.trailing_zeros(x).alias("zeros"), bits.reverse32(x).alias("reversed")
+    )
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%-m-%-d') AS day, datediff('second', TIMESTAMP '1992-01-01', o_orderdate) AS seconds FROM orders")
+def date_functions(spark, d):
+    start = F.unix_timestamp(F.lit("1992-01-01").cast("timestamp"))
+    return parquet(spark, d, "orders").select("o_orderkey", sinks.unpadded_date(F.col("o_orderdate")).alias("day"), (F.unix_timestamp("o_orderdate") - start).alias("seconds"))
+
+
+@query("SELECT event_id || ',' || user_id || ',' || event_type AS line FROM events")
+def row_lines(spark, d):
+    return sinks.row_text(parquet(spark, d, "events").select("event_id", "user_id", "event_type"))
+
+
+@query("SELECT CAST(floor(value) AS BIGINT) AS v, count(*) AS n, repeat('*', CAST(floor(count(*) / 200.0) AS BIGINT)) AS bar FROM events GROUP BY 1")
+def histogram(spark, d):
+    from ..sources.synthetic import histogram as bars
+
+    return bars(parquet(spark, d, "events").select(F.floor("value").alias("v")))
