@@ -226,7 +226,7 @@ def score(docs: DataFrame, model: CoTrained, keep: tuple[str, ...] = ()) -> Data
     names = ["text", "source", "lang"]
     extra = [c for c in keep if c not in ("doc_id", *names)]
     rows = docs.select("doc_id", *names, *extra)
-    shown = [c for c in ("doc_id", *keep) if c in rows.columns]
+    shown = [c for c in dict.fromkeys(("doc_id", *keep)) if c in rows.columns]
     fields = ", ".join(f"`{c}` {dict(rows.dtypes)[c]}" for c in shown)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
