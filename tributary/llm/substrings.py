@@ -174,7 +174,7 @@ class RunLengthIndex:
         key = np.zeros(n, np.int64)
         for k in range(pack):
             key <<= bits
-            key[: n - k] |= symbols[k:]
+            key[: max(0, n - k)] |= symbols[k:]
         done = pack
         while True:
             order = np.argsort(key, kind="stable")
