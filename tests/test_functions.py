@@ -58,3 +58,12 @@ def test_cells_are_squares_of_their_side(spark):
         y = one(spark, geo.cell(lat, F.lit(geo.GRID_LON), 500.0, 300)[1])[0]
         assert y == j
     assert one(spark, *geo.cell(F.lit(10.0), F.lit(10.0), 500.0, 300)) == (None, None)
+
+
+def test_percentiles_equal_the_array_form(spark):
+    rnd = random.Random(2)
+    rows = [(g, float(rnd.randint(0, 9))) for g in "abc" for _ in range({"a": 1, "b": 10, "c": 37}[g])]
+    df = spark.createDataFrame(rows, "g string, v double")
+    ks = {"x": 0.5, "y": 0.9, "z": 1.0, "w": 0.0, "bad": 2.0}
+    arrays = df.groupBy("g").agg(F.sort_array(F.collect_list("v")).alias("a")).select("g", *[stats.percentile(F.col("a"), k).alias(n) for n, k in ks.items()])
+    assert sorted(map(tuple, stats.percentiles(df, "g", "v", ks).collect())) == sorted(map(tuple, arrays.collect()))

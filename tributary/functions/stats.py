@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,6 +22,27 @@ def percentile(sorted_values: Column, k: float) -> Column:
     return F.when(n == 0, F.lit(-1.0)).when(whole, mean).otherwise(F.get(sorted_values, up)).cast("double")
 
 
+def percentiles(df: DataFrame, group: str, value: str, ks: dict[str, float]) -> DataFrame:
+    """``percentile`` per group without gathering a group: equal values are counted first, then ranked by a running sum.
+
+    The window sorts one row per distinct value and spills; no array of a group's values is built.
+    """
+    w = Window.partitionBy(group)
+    c = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("c_"))
+    c = c.withColumns({"hi_": F.sum("c_").over(w.orderBy(value)), "n_": F.sum("c_").over(w)})
+    at = lambda i: F.max(F.when((i < F.col("hi_")) & (i >= F.col("hi_") - F.col("c_")), F.col(value)))
+    out = []
+    for name, k in ks.items():
+        if not 0 <= k <= 1:
+            out.append(F.lit(-1.0).alias(name))
+            continue
+        pos, last = F.round(F.lit(k) * F.col("n_"), 9), F.col("n_") - 1
+        whole = F.first(pos == F.floor(pos))
+        first, second = at(F.least(F.floor(pos), last)), at(F.least(F.floor(pos) + 1, last))
+        out.append(F.when(whole, (first + second) / 2).otherwise(at(F.least(F.ceil(pos), last))).cast("double").alias(name))
+    return c.groupBy(group).agg(*out)
+
+
 def mean_or_zero(c: Column) -> Column:
     return F.coalesce(F.avg(c), F.lit(0.0))
 
