@@ -7,8 +7,9 @@ features is fitted on a bounded sample of such sequences by maximum likelihood;
 give each token's probability. A document's score is a calibrated logistic of its marginals; runs of tokens
 over one half are its offending offsets.
 
-Feature counts cover all labelled training rows. The chain and its calibration are fitted on at most
-``SAMPLE`` training documents per class (those that a hash ranks first). Scoring reads whole texts.
+Both are fitted on bounded samples of the labelled rows: features are counted over at most ``FIT`` documents per
+class, the chain and its calibration use at most ``SAMPLE`` of these (those that a hash ranks first), whole
+texts. So no text is shuffled: the sample's ids are broadcast. Scoring reads all documents and whole texts.
 
 Defined results: null and empty texts score the calibrated score of no evidence; repeated rows score alike;
 null labels are not learnt from; with no labelled rows, or one class only, every score is the base rate; an
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Training documents per class for the chain's weights, whole texts.
-SAMPLE = 800
+#: Labelled documents per class that features are counted over, and those of them that the chain is fitted on.
+FIT, SAMPLE = 4000, 800
 #: Features kept in the model, and the evidence they need.
 VOCABULARY, MIN_DOCS, MIN_LOG_ODDS = 20_000, 8, 2.5
 
@@ -163,10 +164,22 @@ def calibrate(evidence: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: in
     return tuple(float(v) for v in b)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, fit: int = FIT, sample: int = SAMPLE) -> Chain:
     """Fit a chain from documents and their labels (doc_id, toxic), whatever rows these hold."""
-    y = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(y, "doc_id").select("doc_id", "text", "toxic")
+    y = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    y = y.join(docs.where("text IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id"))
+    sizes = {r["toxic"]: r["count"] for r in y.groupBy("toxic").count().collect()}
+    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
+    if not n0 or not n1:
+        base = 0.5 if n0 == n1 else float(n1 > 0) * 0.98 + 0.01
+        return Chain(calibration=(0.0, 0.0, float(_logit(base))))
+
+    def chosen(most: int) -> DataFrame:
+        ids = [y.where(F.col("toxic") == t).orderBy("h", "doc_id").limit(most).select("doc_id", "toxic") for t in (0, 1)]
+        return docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id")  # at most 2 x most rows
+
+    rows = chosen(fit)
+    m0, m1 = min(n0, fit), min(n1, fit)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -178,20 +191,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
                     yield pd.DataFrame({"f": names, "n0": [seen[0][f] for f in names], "n1": [seen[1][f] for f in names]})
                     seen = (Counter(), Counter())
 
-    sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
-    if not n0 or not n1:
-        base = 0.5 if n0 == n1 else float(n1 > 0) * 0.98 + 0.01
-        return Chain(calibration=(0.0, 0.0, float(_logit(base))))
     counts = rows.mapInPandas(count, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    odds = F.log((F.col("n1") + 0.5) / (n1 + 1.0)) - F.log((F.col("n0") + 0.5) / (n0 + 1.0))
-    least = max(3, min(MIN_DOCS, n1 // 10))
+    odds = F.log((F.col("n1") + 0.5) / (m1 + 1.0)) - F.log((F.col("n0") + 0.5) / (m0 + 1.0))
+    least = max(3, min(MIN_DOCS, m1 // 10))
     best = counts.select("f", odds.alias("odds"), "n1").where((F.col("odds") > MIN_LOG_ODDS) & (F.col("n1") >= least))
     vocabulary = {r["f"]: r["odds"] for r in best.orderBy(F.desc(F.col("odds") * F.log1p("n1")), "f").limit(VOCABULARY).collect()}
-    pick = [rows.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for t in (0, 1)]
     index: dict[str, int] = {}
     tokens, truth = [], []
-    for r in pick[0].unionByName(pick[1]).toLocalIterator():
+    for r in chosen(sample).orderBy("doc_id").collect():
         tokens.append(np.array([index.setdefault(w, len(index)) for w in WORD.findall(r["text"].lower())], np.int32))
         truth.append(bool(r["toxic"]))
     words = list(index)
