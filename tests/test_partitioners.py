@@ -66,3 +66,27 @@ def test_loads_count_empty_tasks(spark):
     row = metrics.imbalance(metrics.task_loads(df, 5, "k")).first()
     assert (row.tuples_imbalance, row.max_tuples, row.min_tuples, row.keys_imbalance) == (8.0, 10, 0, 2.4)
     assert metrics.replicated(df, "k").count() == 0
+
+
+def test_windowed_strategy_forgets(spark):
+    fold = partitioners.WindowedFold(8, 100, 10)
+    for t in range(500):
+        fold.next(t, t)
+        assert sum(map(len, fold.live)) <= 111
+    df = spark.range(60).select(F.col("id").alias("t"), (F.col("id") % 9).alias("k"))
+    got, fold = {r.t: r.task for r in partitioners.assign_windowed(df, 4, "k", "t", 20, 5).collect()}, partitioners.WindowedFold(4, 20, 5)
+    assert all(got[t] == fold.next(t, t % 9) for t in range(60))
+
+
+def test_state_carries_over(spark):
+    a = spark.range(30).select(F.col("id").alias("seq"), (F.col("id") % 5).alias("k"))
+    first, second = partitioners.assign_after(a, a, "an", 8, "k", "seq")
+    where = {r.k: r.task for r in first.collect()}
+    assert second.count() == 30 and all(where[r.k] == r.task for r in second.collect())
+
+
+def test_murmur_task_and_latencies(spark):
+    df = spark.range(50).select(F.col("id").alias("k"), F.col("id").alias("seq"), (F.col("id") % 2).alias("w"))
+    got = df.select("k", partitioners.murmur_task("k", F.lit(16), F.lit(313)).alias("t")).collect()
+    assert all(r.t == partitioners.folded(partitioners.key_bytes(r.k), 313) % 16 for r in got)
+    assert [r.tuples for r in partitioners.latencies(df, "cn", 8, "k", "seq", "w").collect()] == [25, 25]

@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.murmur import folded
 from .sketches import ExactCardinality, HipCardinality
@@ -145,3 +146,77 @@ def shed_heaviest(df: DataFrame, share: float = 0.5, seed: int = 1) -> DataFrame
     """Drop a random ``share`` of the tuples of the task with most tuples."""
     heavy = df.groupBy("task").count().orderBy(F.desc("count"), "task").limit(1).select(F.col("task").alias("heavy_"))
     return df.join(F.broadcast(heavy)).where((F.col("task") != F.col("heavy_")) | (F.rand(seed) >= share)).drop("heavy_")
+
+
+class WindowedFold:
+    """Two choices by distinct keys per task over a sliding window of ``size``, kept in buckets of ``slide`` time units."""
+
+    def __init__(self, n: int, size: int, slide: int) -> None:
+        self.n, self.size, self.slide = n, size, slide
+        self.buckets: dict[int, list[dict]] = {}
+        self.live: list[dict] = [{} for _ in range(n)]
+
+    def _evict(self, now: int) -> None:
+        for b in [b for b in self.buckets if (b + 1) * self.slide <= now - self.size]:
+            for task, seen in enumerate(self.buckets.pop(b)):
+                for k, c in seen.items():
+                    self.live[task][k] -= c
+                    if not self.live[task][k]:
+                        del self.live[task][k]
+
+    def next(self, time: int, key) -> int:
+        self._evict(time)
+        a, b = (folded(key_bytes(key), s) % self.n for s in SEEDS[:2])
+        chosen = a if len(self.live[a]) < len(self.live[b]) else b
+        bucket = self.buckets.setdefault(time // self.slide, [{} for _ in range(self.n)])
+        for seen in (bucket[chosen], self.live[chosen]):
+            seen[key] = seen.get(key, 0) + 1
+        return chosen
+
+
+def assign_windowed(df: DataFrame, n: int, key: str, time: str, size: int, slide: int, scope: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with the ``task`` of the windowed strategy; ``time`` (long) orders the stream within each scope."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(time, kind="stable")
+        fold = WindowedFold(n, size, slide)
+        return pdf.assign(task=np.array([fold.next(int(t), k) for t, k in zip(pdf[time], pdf[key])], np.int32))
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.groupBy(*scope).applyInPandas(run, f"{fields}, task int")
+
+
+def assign_after(first: DataFrame, second: DataFrame, name: str, n: int, key: str, seq: str, scope: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Tasks of two inputs with the same columns under one state: ``second`` meets what ``first`` left.
+
+    One fold over the tagged union in each scope; for a reset between inputs call ``assign`` twice.
+    """
+    both = first.withColumn("input_", F.lit(0)).unionByName(second.withColumn("input_", F.lit(1)))
+    order = both.withColumn("order_", F.struct("input_", seq)).withColumn("order_", F.row_number().over(Window.partitionBy(*scope).orderBy("order_")))
+    got = assign(order, name, n, key, "order_", scope)
+    return tuple(got.where(F.col("input_") == i).drop("input_", "order_") for i in (0, 1))
+
+
+@F.pandas_udf(T.IntegerType())
+def murmur_task(key: pd.Series, n: pd.Series, seed: pd.Series) -> pd.Series:
+    """Task by the folded MurmurHash3 of the key, for ids that must equal those of another implementation."""
+    memo: dict = {}
+    return pd.Series([memo.setdefault((k, s), folded(key_bytes(k), s)) % m for k, m, s in zip(key, n, seed)], dtype="int32")
+
+
+def latencies(df: DataFrame, name: str, n: int, key: str, seq: str, window: str, repeats: int = 5) -> DataFrame:
+    """Per window how long assigning its tuples takes: (window, tuples, ms), the trimmed mean of repeats."""
+    import time as clock
+
+    from ..functions.stats import trimmed_mean
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys, took = pdf.sort_values(seq)[key].tolist(), []
+        for _ in range(repeats):
+            fold, began = Fold(name, n), clock.perf_counter()
+            for k in keys:
+                fold.next(k)
+            took.append((clock.perf_counter() - began) * 1e3)
+        return pd.DataFrame({window: [pdf[window].iloc[0]], "tuples": [len(keys)], "ms": [trimmed_mean(took)]})
+
+    return df.groupBy(window).applyInPandas(run, f"{window} {dict(df.dtypes)[window]}, tuples long, ms double")
