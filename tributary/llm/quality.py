@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-LABELLED, POOL, ROUNDS = 2000, 4000, 4
+LABELLED, POOL, ROUNDS = 1000, 2000, 4
 #: Share of the pool that each view hands over in a round.
 GROWTH = 0.05
 #: A document is rejected below this calibrated probability of good quality.
@@ -192,14 +192,21 @@ def co_train(lt, lp, y, ut, up, rounds: int = ROUNDS, growth: float = GROWTH) ->
 
 
 def _features(rows: DataFrame) -> DataFrame:
+    """(y, t, p): label and both views' features as packed floats, which reach the driver as two buffers a row."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = [t or "" for t in b["text"]]
             yield pd.DataFrame({
-                "y": b["y"].astype("Int32"), "t": [text_view(t) for t in texts], "p": [page_view(t, s, g) for t, s, g in zip(texts, b["source"], b["lang"])],
+                "y": b["y"].astype("Int32"), "t": [text_view(t).astype(np.float32).tobytes() for t in texts],
+                "p": [page_view(t, s, g).astype(np.float32).tobytes() for t, s, g in zip(texts, b["source"], b["lang"])],
             })
 
-    return rows.mapInPandas(run, "y int, t array<double>, p array<double>")
+    return rows.mapInPandas(run, "y int, t binary, p binary")
+
+
+def _matrix(packed) -> np.ndarray:
+    return np.frombuffer(b"".join(packed), np.float32).reshape(len(packed), -1).astype(float)
 
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> CoTrained:
@@ -215,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     got = _features(rows.select("y", "text", "source", "lang", "h").orderBy("h").drop("h")).toPandas()
     if not len(got):
         return CoTrained()
-    t, p = np.stack(got["t"].to_numpy()), np.stack(got["p"].to_numpy())
+    t, p = _matrix(got["t"]), _matrix(got["p"])
     known = got["y"].notna().to_numpy()
     return co_train(t[known], p[known], got.loc[known, "y"].to_numpy(float), t[~known], p[~known])
 
