@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-LABELLED, POOL, ROUNDS = 1000, 2000, 4
+LABELLED, POOL, ROUNDS = 2000, 4000, 4
 #: Share of the pool that each view hands over in a round.
 GROWTH = 0.05
 #: A document is rejected below this calibrated probability of good quality.
@@ -119,13 +119,13 @@ def fit(x: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 25, ridge: flo
     return View(mean, scale, b)
 
 
-def platt(s: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Weights of a logistic fit of ``y`` on the columns of ``s``; the last one is the intercept."""
+def platt(s: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Weights of a logistic fit of ``y`` on the columns of ``s`` with row weights; the last one is the intercept."""
     z = np.c_[s, np.ones(len(s))]
     b = np.r_[np.full(z.shape[1] - 1, 0.5 / max(1, z.shape[1] - 1)), 0.0]
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
-        b += np.clip(np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(b)), z.T @ (y - p) - ridge * b), -2, 2)
+        b += np.clip(np.linalg.solve((z * (w * p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(b)), z.T @ (w * (y - p)) - ridge * b), -2, 2)
     return b
 
 
@@ -146,8 +146,11 @@ class CoTrained:
         return 1 / (1 + np.exp(-np.clip(np.c_[one[0], one[1], both], -30, 30)))
 
 
-def co_train(lt, lp, y, ut, up, rounds: int = ROUNDS, growth: float = GROWTH) -> CoTrained:
-    """Co-training from labelled (lt, lp, y) and unlabelled (ut, up) features; a fifth of the labels calibrates."""
+def co_train(lt, lp, y, ut, up, rounds: int = ROUNDS, growth: float = GROWTH, share: float | None = None) -> CoTrained:
+    """Co-training from labelled (lt, lp, y) and unlabelled (ut, up) features; a fifth of the labels calibrates.
+
+    ``share`` is that of good documents among all labels; calibration weighs the sample's classes to it.
+    """
     if not len(y) or y.min() == y.max():
         return CoTrained()
     held = np.arange(len(y)) % 5 == 0
@@ -184,11 +187,13 @@ def co_train(lt, lp, y, ut, up, rounds: int = ROUNDS, growth: float = GROWTH) ->
             given[k] = (np.r_[given[k][0], i].astype(int), np.r_[given[k][1], v])
         handed.append(sum(len(i) for i, _ in new))
         views = [refit(0), refit(1)]
+    share = y.mean() if share is None else share
+    w = np.where(y[held] > 0, share / y[held].mean(), (1 - share) / (1 - y[held].mean()))
     for v, x in zip(views, own):
-        b = platt(v.logit(x[held])[:, None], y[held])
+        b = platt(v.logit(x[held])[:, None], y[held], w)
         v.platt = (float(max(b[0], 1e-3)), float(b[1]))
     both = np.c_[tuple(np.clip(v.platt[0] * v.logit(x[held]) + v.platt[1], -12, 12) for v, x in zip(views, own))]
-    return CoTrained(views[0], views[1], platt(both, y[held]), tuple(handed))
+    return CoTrained(views[0], views[1], platt(both, y[held], w), tuple(handed))
 
 
 def _features(rows: DataFrame) -> DataFrame:
@@ -213,6 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     """Fit on bounded samples; only their features reach the driver."""
     y = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
     d = docs.select("doc_id", "text", "source", "lang")
+    share = y.agg(F.avg("y")).first()[0]
     ids = d.select("doc_id").distinct().join(y, "doc_id", "left").withColumn("h", F.xxhash64(F.lit(7), "doc_id"))
     picked = None
     for cond, most in (("y = 0", labelled), ("y = 1", labelled), ("y IS NULL AND doc_id IS NOT NULL", pool)):
@@ -224,7 +230,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
         return CoTrained()
     t, p = _matrix(got["t"]), _matrix(got["p"])
     known = got["y"].notna().to_numpy()
-    return co_train(t[known], p[known], got.loc[known, "y"].to_numpy(float), t[~known], p[~known])
+    return co_train(t[known], p[known], got.loc[known, "y"].to_numpy(float), t[~known], p[~known], share=share)
 
 
 def score(docs: DataFrame, model: CoTrained, keep: tuple[str, ...] = ()) -> DataFrame:
