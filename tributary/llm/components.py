@@ -34,7 +34,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
+        large = large.where("a <> b")  # repeats do no harm; the round's end removes them
         first = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
         hooks = large.join(first, F.col("a") == F.col("k")).where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
         e = cut(hooks.unionByName(first.select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct())
