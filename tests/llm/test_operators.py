@@ -210,6 +210,26 @@ def test_near_copies_at_the_similarity(spark):
     assert all(got[100 + i] == i and got[200 + i] == 200 + i for i in range(8))
 
 
+def edited(text: str, seed: int, n: int = 5) -> str:
+    rnd, w = np.random.default_rng(seed), text.split()
+    for k in rnd.choice(len(w), n, replace=False):
+        w[k] = f"new{seed}x{k}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_a_hundred_edits_of_one_original_are_one_group(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    base = words(300, 77)
+    rows = [(500, base)] + [(i, edited(base, i)) for i in range(100)] + [(1000 + i, words(300, 2000 + i)) for i in range(5)]
+    sets = {i: set(simhash.shingle_hashes(t, simhash.COPY_SHINGLE)) for i, t in rows}
+    ids = [i for i, _ in rows]
+    want = reach(len(ids), lambda a, b: simhash.similarity(sets[ids[a]], sets[ids[b]]) >= simhash.COPY_SIMILARITY)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(frame(spark, [(i, t, "en", "a", 1) for i, t in rows])).collect()}
+    assert len({got[i] for i in ids}) == len({want[k] for k in range(len(ids))})
+    assert sum(got[i] == got[500] for i in range(100)) == sum(want[k] == want[0] for k in range(1, 101)) > 90
+
+
 # 5
 
 def test_embedding_links_equal_brute_force(spark):

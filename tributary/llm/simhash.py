@@ -141,6 +141,10 @@ def _grouped(marks: DataFrame, groups: DataFrame, edges: DataFrame) -> DataFrame
 
 #: Near copies: words per shingle and similarity; samples per document, shingles per sample, widest fingerprint distance.
 COPY_SHINGLE, COPY_SIMILARITY, SAMPLES, SAMPLE_SIZE, COPY_BITS = 5, 0.8, 16, 3, 18
+#: Buckets with more members are compared in blocks of about this many, spread over tasks.
+BLOCK = 4096
+#: Partners a member is compared with grow by this factor per round, until none is left out.
+MORE = 16
 _SPREAD = np.random.default_rng(4).integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -187,36 +191,117 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[ok, ["a", "b"]]
 
 
+def _picks(most: int):
+    """Of rows (i, key, x, y, side, fp, comp), sorted by the first four: pairs of each block that the texts should decide.
+
+    Members of different components are compared, each with its ``most`` likeliest partners and its least likely
+    enough one. A pair (fp, fp) says that a member has more partners than that.
+    """
+
+    def block(fp: np.ndarray, comp: np.ndarray, side: np.ndarray) -> Iterator[tuple]:
+        two = side.any()
+        other = np.flatnonzero(side) if two else np.arange(len(fp))
+        mine = np.flatnonzero(~side) if two else other
+        if (comp == comp[0]).all():
+            return
+        order = other[np.argsort(fp[other], kind="stable")]
+        step = max(1, (1 << 21) // len(order))
+        for lo in range(0, len(mine), step):
+            m = mine[lo : lo + step]
+            far = np.bitwise_count((fp[m][:, None] ^ fp[order][None, :]).view(np.uint64)).astype(np.int16)
+            far[(comp[m][:, None] == comp[order][None, :]) | (far > COPY_BITS)] = 99
+            for r in np.flatnonzero((far < 99).any(axis=1)):
+                likely = np.flatnonzero(far[r] < 99)
+                best = likely[np.argsort(far[r][likely], kind="stable")[:most]]
+                for j in {int(likely[0]), *map(int, best)}:
+                    yield min(fp[m[r]], fp[order[j]]), max(fp[m[r]], fp[order[j]])
+                if len(likely) > most:
+                    yield fp[m[r]], fp[m[r]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: list[pd.DataFrame] = []  # the block that the last batch ended in
+
+        def blocks(rows: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
+            fp, comp, side = rows["fp"].to_numpy(np.int64), rows["comp"].to_numpy(np.int64), rows["side"].to_numpy(bool)
+            found = {p for a, b in zip(cuts, cuts[1:]) if b - a > 1 for p in block(fp[a:b], comp[a:b], side[a:b])}
+            return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
+
+        for b in batches:
+            if not len(b):
+                continue
+            kept.append(b)
+            rows = pd.concat(kept, ignore_index=True)
+            k = rows[["i", "key", "x", "y"]].to_numpy(np.int64)
+            cuts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+            kept = [rows]
+            if len(cuts):
+                yield blocks(rows, np.r_[0, cuts])
+                kept = [rows.iloc[cuts[-1] :]]
+        if kept:
+            yield blocks(kept[0], np.array([0, len(kept[0])]))
+
+    return run
+
+
+def _candidates(keyed: DataFrame, comp: DataFrame | None, first: bool, most: int) -> DataFrame:
+    """Pairs (a, b) of members of one bucket in different components; see ``_picks``.
+
+    The ``first`` time, the members of a large bucket meet within their block and the bucket's least member, a row
+    each. Later, with most of them in one component, every two blocks of what is left meet.
+    """
+    if comp is None:
+        rows = keyed.withColumn("comp", F.col("fp"))
+    else:
+        rows = keyed.join(comp, keyed.fp == comp.node, "left").select("i", "key", "fp", F.coalesce("component", "fp").alias("comp"))
+    open_ = rows.groupBy("i", "key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("fp").alias("least")).where("lo < hi")
+    rows = rows.join(open_, ["i", "key"])
+    g = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    mine = F.pmod(F.xxhash64(F.lit(11), "fp"), g).cast("int")
+    all_ = F.sequence(F.lit(0), g - 1)
+    if first:
+        at = F.when(F.col("fp") == F.col("least"), all_).otherwise(F.array(mine))
+        at = F.transform(at, lambda y: F.struct(y.alias("x"), y.alias("y"), F.lit(False).alias("side")))
+    else:
+        at = F.transform(all_, lambda y: F.struct(F.least(mine, y).alias("x"), F.greatest(mine, y).alias("y"), (mine > y).alias("side")))
+    rows = rows.select("i", "key", F.explode(at).alias("at"), "fp", "comp").select("i", "key", "at.x", "at.y", "at.side", "fp", "comp")
+    rows = rows.repartition("i", "key", "x", "y").sortWithinPartitions("i", "key", "x", "y")
+    return rows.mapInPandas(_picks(most), "a long, b long").distinct()
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """Every document with the smallest doc_id of its group of near copies: (doc_id, fp, component_id).
 
     Near copies share ``COPY_SIMILARITY`` of their five-word shingles. Their fingerprints may differ in more bits than
     a segment key survives, so fingerprints of samples name candidates besides the pigeonring links of whole
-    texts: equal samples link a document to the least of its bucket, the ring's budgets prune the pair, and the
-    texts decide. A bucket costs a row per member, whatever its size. Near copies agree in some of the
-    ``SAMPLES`` samples: at similarity 0.8 all differ with a chance below one in ten thousand.
+    texts, and the texts decide. Members of a bucket are compared in rounds: each with its likeliest partners of
+    other components, then, where the texts left them apart, with more, until every pair of a bucket is in
+    one component or was decided by its texts. Near copies agree in some of the ``SAMPLES`` samples: at
+    similarity 0.8 all differ with a chance below one in ten thousand.
     """
     marks = stage(docs.select("doc_id", "text").mapInPandas(_scan_copies, "doc_id long, fp long, samples array<long>"), "simhash-copies")
     groups = marks.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    near = links(groups.select("fp"))
+    edges = stage(links(groups.select("fp")), "links")
     keyed = marks.select("fp", F.posexplode("samples").alias("i", "key")).distinct()
-    buckets = keyed.groupBy("i", "key").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    x = F.col("fp").bitwiseXOR(F.col("b"))
-    ring = F.lit(False)
-    for i in range(SEGMENTS):  # some chain of the ring keeps its budget at every length
-        chain = F.lit(True)
-        for n in range(1, SEGMENTS + 1):
-            chain = chain & (F.bit_count(x.bitwiseAND(F.lit(_mask(i, n)))) <= n * COPY_BITS // SEGMENTS)
-        ring = ring | chain
-    pairs = keyed.join(buckets, ["i", "key"]).where((F.col("fp") != F.col("b")) & ring & (F.bit_count(x) <= COPY_BITS))
-    pairs = stage(pairs.select(F.col("fp").alias("a"), "b").distinct(), "pairs")
-    ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    reps = groups.join(ends, "fp").where("low IS NOT NULL")
-    texts = docs.select("doc_id", "text").join(reps.select(F.col("low").alias("doc_id"), "fp"), "doc_id").groupBy("fp").agg(F.first("text").alias("text"))
-    texts = stage(texts, "texts")
-    sided = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b")
-    sure = sided.select("a", "b", "ta", "tb").mapInPandas(_verify, "a long, b long")
-    return _grouped(marks.select("doc_id", "fp"), groups, near.unionByName(sure))
+    shared = keyed.groupBy("i", "key").agg(F.count("*").alias("n")).where("n > 1")
+    large = shared.where(F.col("n") > BLOCK).limit(1).count() > 0
+    keyed = stage(keyed.join(shared.drop("n"), ["i", "key"]), "buckets")
+    low = groups.where("low IS NOT NULL")
+    tested, comp, most, first = None, None, 1, True
+    while True:
+        found = stage(_candidates(keyed, comp, first, most), "pairs")
+        pairs = found.where("a < b")
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+        texts = docs.select("doc_id", "text").join(low.join(ends, "fp").select(F.col("low").alias("doc_id"), "fp"), "doc_id").groupBy("fp").agg(F.first("text").alias("text"))
+        texts = stage(texts, "texts")
+        sided = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b")
+        sure = stage(sided.select("a", "b", "ta", "tb").mapInPandas(_verify, "a long, b long"), "sure")
+        edges = edges.unionByName(sure)
+        if not (first and large) and not found.where("a = b").limit(1).count():
+            return _grouped(marks.select("doc_id", "fp"), groups, edges)
+        tested = found.where("a < b") if tested is None else tested.unionByName(found.where("a < b"))
+        comp, most, first = connected_components(edges), most * MORE, False
 
 
 def op4_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
