@@ -230,6 +230,15 @@ def test_a_hundred_edits_of_one_original_are_one_group(spark, monkeypatch, block
     assert sum(got[i] == got[500] for i in range(100)) == sum(want[k] == want[0] for k in range(1, 101)) > 90
 
 
+def test_repeated_lines_do_not_hide_copies(spark):
+    rows = []
+    for i in range(10):
+        t, line = words(300, 3000 + i), words(12, 4000 + i)
+        rows += [(10 * i, t + "\n" + line)] + [(10 * i + k + 1, t + ("\n" + line) * n) for k, n in enumerate((10, 30, 100))]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(frame(spark, [(i, t, "en", "a", 1) for i, t in rows])).collect()}
+    assert all(got[i] == i // 10 * 10 for i, _ in rows)
+
+
 # 5
 
 def test_embedding_links_equal_brute_force(spark):

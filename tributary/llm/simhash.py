@@ -139,14 +139,31 @@ def _grouped(marks: DataFrame, groups: DataFrame, edges: DataFrame) -> DataFrame
     return marks.join(ids, "fp")
 
 
-#: Near copies: words per shingle and similarity; samples per document, shingles per sample, widest fingerprint distance.
-COPY_SHINGLE, COPY_SIMILARITY, SAMPLES, SAMPLE_SIZE, COPY_BITS = 5, 0.8, 16, 3, 18
+#: Near copies: words per shingle and similarity; samples per document, shingles per sample.
+COPY_SHINGLE, COPY_SIMILARITY, SAMPLES, SAMPLE_SIZE = 5, 0.8, 16, 3
+#: Least hashes in a sketch of a text's distinct shingles, and how many must agree for the texts to be compared: at similarity
+#: 0.8 fewer do with a chance of one in a million.
+SKETCH, AGREE = 64, 34
 #: Buckets with more members are compared in blocks of about this many, spread over tasks.
 BLOCK = 4096
 #: Partners a member is compared with grow by this factor per round, until none is left out.
 MORE = 16
 _SPREAD = np.random.default_rng(4).integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+_SKETCH = np.random.default_rng(5).integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def sketch(hashes: list[int]) -> bytes:
+    """``SKETCH`` min-hashes of a text's distinct shingles, 16 bits each; repeats do not count, as in ``similarity``."""
+    h = np.unique(np.array(hashes, np.uint64))
+    if not len(h):
+        return bytes(2 * SKETCH)
+    least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), 1024):
+        x = h[at : at + 1024, None] * _SKETCH
+        least = np.minimum(least, (x ^ (x >> np.uint64(31))).min(axis=0))
+    return ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16).tobytes()
+
 
 def sample_fingerprints(hashes: list[int]) -> np.ndarray:
     """SimHash of each of ``SAMPLES`` samples of a text's shingles: the ``SAMPLE_SIZE`` that a seeded hash ranks first."""
@@ -166,9 +183,10 @@ def sample_fingerprints(hashes: list[int]) -> np.ndarray:
 def _scan_copies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         texts = b["text"].tolist()
+        hashes = [shingle_hashes(t, COPY_SHINGLE) for t in texts]
         yield pd.DataFrame({
             "doc_id": b["doc_id"].astype("Int64"), "fp": fingerprints(texts, COPY_SHINGLE).view(np.int64),
-            "samples": [sample_fingerprints(shingle_hashes(t, COPY_SHINGLE)) for t in texts],
+            "samples": [sample_fingerprints(x) for x in hashes], "sketch": [sketch(x) for x in hashes],
         })
 
 
@@ -192,27 +210,30 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _picks(most: int):
-    """Of rows (i, key, x, y, side, fp, comp), sorted by the first four: pairs of each block that the texts should decide.
+    """Of rows (i, key, x, y, side, fp, comp, sketch), sorted by the first four: pairs of each block that the texts should decide.
 
     Members of different components are compared, each with its ``most`` likeliest partners and its least likely
     enough one. A pair (fp, fp) says that a member has more partners than that.
     """
 
-    def block(fp: np.ndarray, comp: np.ndarray, side: np.ndarray) -> Iterator[tuple]:
+    def block(fp: np.ndarray, comp: np.ndarray, side: np.ndarray, marks: np.ndarray) -> Iterator[tuple]:
         two = side.any()
         other = np.flatnonzero(side) if two else np.arange(len(fp))
         mine = np.flatnonzero(~side) if two else other
         if (comp == comp[0]).all():
             return
         order = other[np.argsort(fp[other], kind="stable")]
+        theirs = np.ascontiguousarray(marks[order].T)
         step = max(1, (1 << 21) // len(order))
         for lo in range(0, len(mine), step):
             m = mine[lo : lo + step]
-            far = np.bitwise_count((fp[m][:, None] ^ fp[order][None, :]).view(np.uint64)).astype(np.int16)
-            far[(comp[m][:, None] == comp[order][None, :]) | (far > COPY_BITS)] = 99
-            for r in np.flatnonzero((far < 99).any(axis=1)):
-                likely = np.flatnonzero(far[r] < 99)
-                best = likely[np.argsort(far[r][likely], kind="stable")[:most]]
+            near = np.zeros((len(m), len(order)), np.int8)
+            for t in range(SKETCH):
+                near += marks[m, t][:, None] == theirs[t][None, :]
+            near[(comp[m][:, None] == comp[order][None, :]) | (near < AGREE)] = 0
+            for r in np.flatnonzero(near.any(axis=1)):
+                likely = np.flatnonzero(near[r])
+                best = likely[np.argsort(-near[r][likely], kind="stable")[:most]]
                 for j in {int(likely[0]), *map(int, best)}:
                     yield min(fp[m[r]], fp[order[j]]), max(fp[m[r]], fp[order[j]])
                 if len(likely) > most:
@@ -223,7 +244,8 @@ def _picks(most: int):
 
         def blocks(rows: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
             fp, comp, side = rows["fp"].to_numpy(np.int64), rows["comp"].to_numpy(np.int64), rows["side"].to_numpy(bool)
-            found = {p for a, b in zip(cuts, cuts[1:]) if b - a > 1 for p in block(fp[a:b], comp[a:b], side[a:b])}
+            marks = np.frombuffer(b"".join(rows["sketch"]), np.uint16).reshape(-1, SKETCH)
+            found = {p for a, b in zip(cuts, cuts[1:]) if b - a > 1 for p in block(fp[a:b], comp[a:b], side[a:b], marks[a:b])}
             return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
 
         for b in batches:
@@ -252,7 +274,7 @@ def _candidates(keyed: DataFrame, comp: DataFrame | None, first: bool, most: int
     if comp is None:
         rows = keyed.withColumn("comp", F.col("fp"))
     else:
-        rows = keyed.join(comp, keyed.fp == comp.node, "left").select("i", "key", "fp", F.coalesce("component", "fp").alias("comp"))
+        rows = keyed.join(comp, keyed.fp == comp.node, "left").select("i", "key", "fp", "sketch", F.coalesce("component", "fp").alias("comp"))
     open_ = rows.groupBy("i", "key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("fp").alias("least")).where("lo < hi")
     rows = rows.join(open_, ["i", "key"])
     g = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
@@ -263,7 +285,7 @@ def _candidates(keyed: DataFrame, comp: DataFrame | None, first: bool, most: int
         at = F.transform(at, lambda y: F.struct(y.alias("x"), y.alias("y"), F.lit(False).alias("side")))
     else:
         at = F.transform(all_, lambda y: F.struct(F.least(mine, y).alias("x"), F.greatest(mine, y).alias("y"), (mine > y).alias("side")))
-    rows = rows.select("i", "key", F.explode(at).alias("at"), "fp", "comp").select("i", "key", "at.x", "at.y", "at.side", "fp", "comp")
+    rows = rows.select("i", "key", F.explode(at).alias("at"), "fp", "comp", "sketch").select("i", "key", "at.x", "at.y", "at.side", "fp", "comp", "sketch")
     rows = rows.repartition("i", "key", "x", "y").sortWithinPartitions("i", "key", "x", "y")
     return rows.mapInPandas(_picks(most), "a long, b long").distinct()
 
@@ -273,18 +295,19 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
     Near copies share ``COPY_SIMILARITY`` of their five-word shingles. Their fingerprints may differ in more bits than
     a segment key survives, so fingerprints of samples name candidates besides the pigeonring links of whole
-    texts, and the texts decide. Members of a bucket are compared in rounds: each with its likeliest partners of
+    texts, and the texts decide where sketches of their shingle sets agree. Members of a bucket are compared in rounds: each with its likeliest partners of
     other components, then, where the texts left them apart, with more, until every pair of a bucket is in
     one component or was decided by its texts. Near copies agree in some of the ``SAMPLES`` samples: at
     similarity 0.8 all differ with a chance below one in ten thousand.
     """
-    marks = stage(docs.select("doc_id", "text").mapInPandas(_scan_copies, "doc_id long, fp long, samples array<long>"), "simhash-copies")
+    marks = stage(docs.select("doc_id", "text").mapInPandas(_scan_copies, "doc_id long, fp long, samples array<long>, sketch binary"), "simhash-copies")
     groups = marks.groupBy("fp").agg(F.min("doc_id").alias("low"))
     edges = stage(links(groups.select("fp")), "links")
     keyed = marks.select("fp", F.posexplode("samples").alias("i", "key")).distinct()
     shared = keyed.groupBy("i", "key").agg(F.count("*").alias("n")).where("n > 1")
     large = shared.where(F.col("n") > BLOCK).limit(1).count() > 0
-    keyed = stage(keyed.join(shared.drop("n"), ["i", "key"]), "buckets")
+    keyed = keyed.join(shared.drop("n"), ["i", "key"]).join(marks.groupBy("fp").agg(F.min("sketch").alias("sketch")), "fp")
+    keyed = stage(keyed.select("i", "key", "fp", "sketch"), "buckets")
     low = groups.where("low IS NOT NULL")
     tested, comp, most, first = None, None, 1, True
     while True:
