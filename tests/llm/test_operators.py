@@ -239,6 +239,12 @@ def test_repeated_lines_do_not_hide_copies(spark):
     assert all(got[i] == i // 10 * 10 for i, _ in rows)
 
 
+def test_texts_under_one_repeated_line_stay_apart(spark):
+    line = words(12, 5)
+    docs = frame(spark, [(i, words(40, 6000 + i) + ("\n" + line) * 140, "en", "a", 1) for i in range(300)])
+    assert all(r.component_id == r.doc_id for r in simhash.near_copies(docs).collect())
+
+
 # 5
 
 def test_embedding_links_equal_brute_force(spark):

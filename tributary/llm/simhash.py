@@ -47,9 +47,12 @@ def shingle_hashes(text: str | None, k: int = SHINGLE) -> list[int]:
 
 def fingerprints(texts, k: int = SHINGLE) -> np.ndarray:
     """SimHash of each text as uint64: a bit is set if it is set in over half the shingle hashes."""
-    out = np.zeros(len(texts), np.uint64)
-    for i, text in enumerate(texts):
-        h = shingle_hashes(text, k)
+    return _simhashes([shingle_hashes(t, k) for t in texts])
+
+
+def _simhashes(hashes: list[list[int]]) -> np.ndarray:
+    out = np.zeros(len(hashes), np.uint64)
+    for i, h in enumerate(hashes):
         if not h:
             continue
         ones = np.zeros(64, np.int64)
@@ -180,12 +183,16 @@ def sample_fingerprints(hashes: list[int]) -> np.ndarray:
     return out.view(np.int64)
 
 
+def set_id(hashes: list[int]) -> int:
+    """A hash of a text's distinct shingles: texts of similarity 1 have the same. Zero without shingles."""
+    return int(np.array(xxhash.xxh64_intdigest(np.unique(np.array(hashes, np.uint64)).tobytes(), SEED), np.uint64).view(np.int64)) if hashes else 0
+
+
 def _scan_copies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        texts = b["text"].tolist()
-        hashes = [shingle_hashes(t, COPY_SHINGLE) for t in texts]
+        hashes = [shingle_hashes(t, COPY_SHINGLE) for t in b["text"].tolist()]
         yield pd.DataFrame({
-            "doc_id": b["doc_id"].astype("Int64"), "fp": fingerprints(texts, COPY_SHINGLE).view(np.int64),
+            "doc_id": b["doc_id"].astype("Int64"), "fp": _simhashes(hashes).view(np.int64), "sid": np.array([set_id(x) for x in hashes], np.int64),
             "samples": [sample_fingerprints(x) for x in hashes], "sketch": [sketch(x) for x in hashes],
         })
 
@@ -210,19 +217,19 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _picks(most: int):
-    """Of rows (i, key, x, y, side, fp, comp, sketch), sorted by the first four: pairs of each block that the texts should decide.
+    """Of rows (i, key, x, y, side, sid, comp, sketch), sorted by the first four: pairs of each block that the texts should decide.
 
     Members of different components are compared, each with its ``most`` likeliest partners and its least likely
-    enough one. A pair (fp, fp) says that a member has more partners than that.
+    enough one. A pair (sid, sid) says that a member has more partners than that.
     """
 
-    def block(fp: np.ndarray, comp: np.ndarray, side: np.ndarray, marks: np.ndarray) -> Iterator[tuple]:
+    def block(sid: np.ndarray, comp: np.ndarray, side: np.ndarray, marks: np.ndarray) -> Iterator[tuple]:
         two = side.any()
-        other = np.flatnonzero(side) if two else np.arange(len(fp))
+        other = np.flatnonzero(side) if two else np.arange(len(sid))
         mine = np.flatnonzero(~side) if two else other
         if (comp == comp[0]).all():
             return
-        order = other[np.argsort(fp[other], kind="stable")]
+        order = other[np.argsort(sid[other], kind="stable")]
         theirs = np.ascontiguousarray(marks[order].T)
         step = max(1, (1 << 21) // len(order))
         for lo in range(0, len(mine), step):
@@ -235,17 +242,17 @@ def _picks(most: int):
                 likely = np.flatnonzero(near[r])
                 best = likely[np.argsort(-near[r][likely], kind="stable")[:most]]
                 for j in {int(likely[0]), *map(int, best)}:
-                    yield min(fp[m[r]], fp[order[j]]), max(fp[m[r]], fp[order[j]])
+                    yield min(sid[m[r]], sid[order[j]]), max(sid[m[r]], sid[order[j]])
                 if len(likely) > most:
-                    yield fp[m[r]], fp[m[r]]
+                    yield sid[m[r]], sid[m[r]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[pd.DataFrame] = []  # the block that the last batch ended in
 
         def blocks(rows: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
-            fp, comp, side = rows["fp"].to_numpy(np.int64), rows["comp"].to_numpy(np.int64), rows["side"].to_numpy(bool)
+            sid, comp, side = rows["sid"].to_numpy(np.int64), rows["comp"].to_numpy(np.int64), rows["side"].to_numpy(bool)
             marks = np.frombuffer(b"".join(rows["sketch"]), np.uint16).reshape(-1, SKETCH)
-            found = {p for a, b in zip(cuts, cuts[1:]) if b - a > 1 for p in block(fp[a:b], comp[a:b], side[a:b], marks[a:b])}
+            found = {p for a, b in zip(cuts, cuts[1:]) if b - a > 1 for p in block(sid[a:b], comp[a:b], side[a:b], marks[a:b])}
             return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
 
         for b in batches:
@@ -272,20 +279,20 @@ def _candidates(keyed: DataFrame, comp: DataFrame | None, first: bool, most: int
     each. Later, with most of them in one component, every two blocks of what is left meet.
     """
     if comp is None:
-        rows = keyed.withColumn("comp", F.col("fp"))
+        rows = keyed.withColumn("comp", F.col("sid"))
     else:
-        rows = keyed.join(comp, keyed.fp == comp.node, "left").select("i", "key", "fp", "sketch", F.coalesce("component", "fp").alias("comp"))
-    open_ = rows.groupBy("i", "key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("fp").alias("least")).where("lo < hi")
+        rows = keyed.join(comp, keyed.sid == comp.node, "left").select("i", "key", "sid", "sketch", F.coalesce("component", "sid").alias("comp"))
+    open_ = rows.groupBy("i", "key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("sid").alias("least")).where("lo < hi")
     rows = rows.join(open_, ["i", "key"])
     g = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    mine = F.pmod(F.xxhash64(F.lit(11), "fp"), g).cast("int")
+    mine = F.pmod(F.xxhash64(F.lit(11), "sid"), g).cast("int")
     all_ = F.sequence(F.lit(0), g - 1)
     if first:
-        at = F.when(F.col("fp") == F.col("least"), all_).otherwise(F.array(mine))
+        at = F.when(F.col("sid") == F.col("least"), all_).otherwise(F.array(mine))
         at = F.transform(at, lambda y: F.struct(y.alias("x"), y.alias("y"), F.lit(False).alias("side")))
     else:
         at = F.transform(all_, lambda y: F.struct(F.least(mine, y).alias("x"), F.greatest(mine, y).alias("y"), (mine > y).alias("side")))
-    rows = rows.select("i", "key", F.explode(at).alias("at"), "fp", "comp", "sketch").select("i", "key", "at.x", "at.y", "at.side", "fp", "comp", "sketch")
+    rows = rows.select("i", "key", F.explode(at).alias("at"), "sid", "comp", "sketch").select("i", "key", "at.x", "at.y", "at.side", "sid", "comp", "sketch")
     rows = rows.repartition("i", "key", "x", "y").sortWithinPartitions("i", "key", "x", "y")
     return rows.mapInPandas(_picks(most), "a long, b long").distinct()
 
@@ -293,36 +300,40 @@ def _candidates(keyed: DataFrame, comp: DataFrame | None, first: bool, most: int
 def near_copies(docs: DataFrame) -> DataFrame:
     """Every document with the smallest doc_id of its group of near copies: (doc_id, fp, component_id).
 
-    Near copies share ``COPY_SIMILARITY`` of their five-word shingles. Their fingerprints may differ in more bits than
-    a segment key survives, so fingerprints of samples name candidates besides the pigeonring links of whole
-    texts, and the texts decide where sketches of their shingle sets agree. Members of a bucket are compared in rounds: each with its likeliest partners of
-    other components, then, where the texts left them apart, with more, until every pair of a bucket is in
-    one component or was decided by its texts. Near copies agree in some of the ``SAMPLES`` samples: at
+    Near copies share ``COPY_SIMILARITY`` of their distinct five-word shingles; texts with the same shingles are one row
+    from the start. Fingerprints of near copies may differ in more bits than a segment key survives, so fingerprints of
+    samples name candidates besides the pigeonring links of whole texts, and the texts decide where sketches of their
+    shingle sets agree; equal fingerprints alone join nothing. Members of a bucket are compared in rounds: each with its
+    likeliest partners of other components, then, where the texts left them apart, with more, until every pair of a
+    bucket is in one component or was decided by its texts. Near copies agree in some of the ``SAMPLES`` samples: at
     similarity 0.8 all differ with a chance below one in ten thousand.
     """
-    marks = stage(docs.select("doc_id", "text").mapInPandas(_scan_copies, "doc_id long, fp long, samples array<long>, sketch binary"), "simhash-copies")
-    groups = marks.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    edges = stage(links(groups.select("fp")), "links")
-    keyed = marks.select("fp", F.posexplode("samples").alias("i", "key")).distinct()
+    marks = stage(docs.select("doc_id", "text").mapInPandas(_scan_copies, "doc_id long, fp long, sid long, samples array<long>, sketch binary"), "simhash-copies")
+    groups = marks.groupBy("sid").agg(F.min("doc_id").alias("low"), F.min("sketch").alias("sketch"))
+    fps = marks.select("fp", "sid").distinct()
+    near = stage(links(fps.select("fp").distinct()), "links")
+    ends = near.select(F.col("b").alias("key"), F.col("a").alias("fp")).unionByName(near.select(F.col("b").alias("key"), F.col("b").alias("fp")))
+    ends = ends.unionByName(fps.select(F.col("fp").alias("key"), "fp")).distinct()
+    keyed = marks.select("sid", F.posexplode("samples").alias("i", "key")).unionByName(ends.join(fps, "fp").select("sid", F.lit(-1).alias("i"), "key")).distinct()
     shared = keyed.groupBy("i", "key").agg(F.count("*").alias("n")).where("n > 1")
     large = shared.where(F.col("n") > BLOCK).limit(1).count() > 0
-    keyed = keyed.join(shared.drop("n"), ["i", "key"]).join(marks.groupBy("fp").agg(F.min("sketch").alias("sketch")), "fp")
-    keyed = stage(keyed.select("i", "key", "fp", "sketch"), "buckets")
+    keyed = keyed.join(shared.drop("n"), ["i", "key"]).join(groups.select("sid", "sketch"), "sid")
+    keyed = stage(keyed.select("i", "key", "sid", "sketch"), "buckets")
     low = groups.where("low IS NOT NULL")
-    tested, comp, most, first = None, None, 1, True
+    tested, comp, most, first, edges = None, None, 1, True, None
     while True:
         found = stage(_candidates(keyed, comp, first, most), "pairs")
         pairs = found.where("a < b")
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-        texts = docs.select("doc_id", "text").join(low.join(ends, "fp").select(F.col("low").alias("doc_id"), "fp"), "doc_id").groupBy("fp").agg(F.first("text").alias("text"))
+        ends = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+        texts = docs.select("doc_id", "text").join(low.join(ends, "sid").select(F.col("low").alias("doc_id"), "sid"), "doc_id").groupBy("sid").agg(F.first("text").alias("text"))
         texts = stage(texts, "texts")
-        sided = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b")
+        sided = pairs.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("sid").alias("b"), F.col("text").alias("tb")), "b")
         sure = stage(sided.select("a", "b", "ta", "tb").mapInPandas(_verify, "a long, b long"), "sure")
-        edges = edges.unionByName(sure)
+        edges = sure if edges is None else edges.unionByName(sure)
         if not (first and large) and not found.where("a = b").limit(1).count():
-            return _grouped(marks.select("doc_id", "fp"), groups, edges)
+            return _grouped(marks.select("doc_id", F.col("sid").alias("fp"), F.col("fp").alias("f")), groups.select(F.col("sid").alias("fp"), "low"), edges).select("doc_id", F.col("f").alias("fp"), "component_id")
         tested = found.where("a < b") if tested is None else tested.unionByName(found.where("a < b"))
         comp, most, first = connected_components(edges), most * MORE, False
 
