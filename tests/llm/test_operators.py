@@ -37,6 +37,18 @@ def test_reparameterised_question_is_found_and_others_are_not(spark):
     assert {(r.doc_id, r.item_id, r.kind) for r in got} == {(1, 9, "verbatim"), (2, 9, "reparameterised")}
 
 
+def test_inserted_dropped_and_partial_items_are_found(spark):
+    items = [(n, words(n, 7000 + n)) for n in (16, 20, 30, 50)]
+    docs = []
+    for n, t in items:
+        w = t.split()
+        docs += [(n, " ".join(["pre", *w[: n // 2], "inserted", *w[n // 2 :], "post"])), (100 + n, " ".join(w[: n // 2] + w[n // 2 + 1 :])), (200 + n, "pre " + " ".join(w[:13]) + " post")]
+    docs.append((999, words(400, 1)))
+    schema = "doc_id long, text string"
+    got = {(r.doc_id, r.item_id) for r in decontamination.find(spark.createDataFrame(docs, schema), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(k + n, n) for n, _ in items for k in (0, 100, 200)}
+
+
 def test_whole_items_in_documents_are_found(spark):
     got = {(r.doc_id, r.item_id) for r in QUERIES["op1_template_decontamination"](spark, SF_DIR).collect()}
     plain = lambda t: " ".join(re.findall(r"[^\W_]+", t.lower()))

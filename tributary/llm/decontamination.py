@@ -14,7 +14,7 @@ are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, small, table
@@ -23,8 +23,12 @@ WINDOW = 8
 MIN_TOKENS = 5
 #: A window needs this share of ordinary words, so that placeholders alone match nothing.
 MIN_LITERAL = 0.5
-#: An alignment counts from this share of the item's windows, or from this many windows.
+#: An alignment counts from this share of the item's tokens, or from this many windows.
 COVERAGE, LONG_RUN = 0.5, 20
+#: Offsets of a document and item that differ by at most this much continue one alignment: words were inserted or dropped.
+BAND = 8
+#: A verbatim run of so many words counts whatever the item's length.
+VERBATIM = 13
 
 NAME, NUM, UNIT = "\ue001", "\ue002", "\ue003"
 UNITS = (
@@ -80,27 +84,52 @@ def _starts(c: Column, w) -> Column:
 
 
 def benchmark_windows(items: DataFrame, w: int = WINDOW) -> DataFrame:
-    """(item_id, item_pos, len, key, words, slots, item_windows) of every window of every item.
+    """(item_id, item_pos, len, key, words, slots, item_windows, item_tokens) of every window of every item.
 
     The first word of an item may stand inside a sentence once it is pasted into a text, and would be read
     as a name there, so windows at the start of an item are kept under both readings.
     """
     it = _tokens(items.where("text IS NOT NULL").dropDuplicates(["item_id", "text"]), "item_id").where(F.size("c") >= MIN_TOKENS)
-    it = it.withColumn("len", F.least(F.size("c"), F.lit(w))).withColumn("item_windows", F.size("c") - F.col("len") + 1)
+    it = it.withColumn("len", F.least(F.size("c"), F.lit(w))).withColumn("item_windows", F.size("c") - F.col("len") + 1).withColumn("item_tokens", F.size("c"))
     win = it.withColumn("item_pos", F.explode_outer(_starts(F.col("c"), F.col("len"))))
-    win = win.select("item_id", "item_pos", "len", "item_windows", F.slice("c", F.col("item_pos"), F.col("len")).alias("words"), _fills(F.col("text"), F.col("c"), F.col("item_pos"), F.col("len")).alias("slots"))
+    win = win.select("item_id", "item_pos", "len", "item_windows", "item_tokens", F.slice("c", F.col("item_pos"), F.col("len")).alias("words"), _fills(F.col("text"), F.col("c"), F.col("item_pos"), F.col("len")).alias("slots"))
     first = F.get("words", 0)
     head = win.where((F.col("item_pos") == 1) & ~first.isin(NUM, NAME, UNIT))
     rest = F.slice("words", 2, w)
-    as_name = head.select("item_id", "item_pos", "len", "item_windows", F.concat(F.array(F.lit(NAME)), rest).alias("words"), F.concat(F.array(first), F.slice("slots", 2, w)).alias("slots"))
+    as_name = head.select("item_id", "item_pos", "len", "item_windows", "item_tokens", F.concat(F.array(F.lit(NAME)), rest).alias("words"), F.concat(F.array(first), F.slice("slots", 2, w)).alias("slots"))
     win = win.unionByName(as_name)
     literal = F.size(F.filter("words", lambda x: ~x.isin(NUM, NAME, UNIT)))
     return win.where(literal >= F.col("len") * F.lit(MIN_LITERAL)).withColumn("key", F.xxhash64("words")).distinct()
 
 
+def verbatim_runs(docs: DataFrame, items: DataFrame, n: int = VERBATIM) -> DataFrame:
+    """(doc_id, item_id, windows, item_windows) of documents with ``n`` words of an item in a row as they are."""
+    plain = lambda df, k: df.select(k, F.array_remove(F.split(F.lower("text"), BETWEEN), "").alias("r"))
+    it = plain(items.where("text IS NOT NULL").dropDuplicates(["item_id", "text"]), "item_id").where(F.size("r") >= n).withColumn("len", F.lit(n))
+    it = it.withColumn("item_windows", F.size("r") - F.col("len") + 1).withColumn("item_pos", F.explode(_starts(F.col("r"), F.col("len"))))
+    bench = it.select("item_id", "item_pos", "len", "item_windows", F.slice("r", F.col("item_pos"), F.col("len")).alias("words")).withColumn("key", F.xxhash64("words"))
+    lens = [r["len"] for r in bench.select("len").distinct().collect()] or [n]  # at most n values
+    at = plain(docs.where("text IS NOT NULL"), "doc_id")
+
+    def hashed(k: int) -> Column:
+        return F.transform(_starts(F.col("r"), k), lambda i: F.struct(i.alias("p"), F.xxhash64(F.slice("r", i, k)).alias("key")))
+
+    hashes = [hashed(k) for k in lens]
+    at = at.select("doc_id", "r", F.explode_outer(F.concat(*hashes) if len(hashes) > 1 else hashes[0]).alias("w"))
+    if small(bench, BROADCAST_ROWS // 8):
+        hits = at.select("doc_id", "r", F.col("w.p").alias("p"), F.col("w.key").alias("key")).join(F.broadcast(bench), "key")
+        hits = hits.where(F.slice("r", F.col("p"), F.col("len")) == F.col("words"))
+    else:
+        hits = at.select("doc_id", F.col("w.key").alias("key")).join(bench, "key")  # 64 bits of hash; the texts are not shuffled
+    return hits.groupBy("doc_id", "item_id").agg(F.count_distinct("item_pos").alias("windows"), F.max("item_windows").alias("item_windows"))
+
+
 def find(docs: DataFrame, items: DataFrame, w: int = WINDOW) -> DataFrame:
     """One row per contaminated document and item: (doc_id, item_id, windows, item_windows, slots, changed, kind).
 
+    Windows count along one offset and along chains of neighbouring offsets, each with its own check of the slots.
+    Documents that hold only a verbatim run of ``VERBATIM`` words are reported with its windows of words and no slots.
+
     The benchmark's windows are broadcast when their counted number allows it; then documents are
     neither shuffled nor copied. Beyond that only (doc_id, position, hash) rows are shuffled for the join, and
     the documents that matched are read again.
@@ -125,21 +154,33 @@ def find(docs: DataFrame, items: DataFrame, w: int = WINDOW) -> DataFrame:
         hits = at.join(tokens.select(F.col("doc_id").alias("d"), "text", "c"), F.col("doc_id").eqNullSafe(F.col("d"))).drop("d")
     hits = hits.where(F.slice("c", F.col("p"), F.col("len")) == F.col("words"))
     mine = _fills(F.col("text"), F.col("c"), F.col("p"), F.col("len"))
-    hits = hits.select("doc_id", "item_id", "item_pos", "item_windows", "p", "slots", mine.alias("mine"))
+    hits = hits.select("doc_id", "item_id", "item_pos", "len", "item_windows", "item_tokens", "p", "slots", mine.alias("mine"))
     fills = F.filter(F.arrays_zip(F.col("slots").alias("a"), F.col("mine").alias("b")), lambda x: x["a"].isNotNull())
     fills = F.transform(fills, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))
-    lines = hits.groupBy("doc_id", "item_id", "item_windows", (F.col("p") - F.col("item_pos")).alias("offset")).agg(
-        F.count_distinct("item_pos").alias("windows"), F.array_distinct(F.flatten(F.collect_set(fills))).alias("fills")
+    lines = hits.groupBy("doc_id", "item_id", "item_windows", "item_tokens", "len", (F.col("p") - F.col("item_pos")).alias("offset")).agg(
+        F.collect_set("item_pos").alias("pos"), F.array_distinct(F.flatten(F.collect_set(fills))).alias("fills")
     )
+    same = ["doc_id", "item_id", "item_windows", "item_tokens", "len"]
+    order = Window.partitionBy(*same).orderBy("offset")
+    gap = F.coalesce(F.col("offset") - F.lag("offset").over(order), F.lit(0))
+    lines = lines.withColumn("new", (gap > BAND).cast("int")).withColumn("chain", F.sum("new").over(order))
+    chains = lines.groupBy(*same, "chain").agg(F.array_distinct(F.flatten(F.collect_list("pos"))).alias("pos"), F.array_distinct(F.flatten(F.collect_list("fills"))).alias("fills"), F.count("*").alias("n"))
+    lines = lines.select(*same, "pos", "fills").unionByName(chains.where("n > 1").select(*same, "pos", "fills"))
+    lines = lines.withColumn("windows", F.size("pos").cast("long"))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("pos", lambda i: F.sequence(i, i + F.col("len") - 1)))))
     ways = lambda k: F.size(F.array_distinct(F.transform("fills", lambda x: x[k])))
     lines = lines.withColumn("slots", F.size("fills")).where((ways("a") == F.col("slots")) & (ways("b") == F.col("slots")))
-    lines = lines.where((F.col("windows") >= F.col("item_windows") * F.lit(COVERAGE)) | (F.col("windows") >= LONG_RUN))
+    lines = lines.where((covered >= F.col("item_tokens") * F.lit(COVERAGE)) | (F.col("windows") >= LONG_RUN))
     changed = F.size(F.filter("fills", lambda x: x["a"] != x["b"]))
     best = lines.groupBy("doc_id", "item_id").agg(F.max(F.struct("windows", (-changed).alias("same"), "slots", "item_windows")).alias("m"))
-    return best.select(
+    best = best.select(
         "doc_id", "item_id", F.col("m.windows").alias("windows"), F.col("m.item_windows").alias("item_windows"), F.col("m.slots").alias("slots"),
         (-F.col("m.same")).alias("changed"), F.when(F.col("m.same") < 0, "reparameterised").otherwise("verbatim").alias("kind"),
     )
+    runs = verbatim_runs(docs, items).select("doc_id", "item_id", "windows", "item_windows", F.lit(0).alias("slots"), F.lit(0).alias("changed"), F.lit("verbatim").alias("kind"))
+    row = F.struct("first", "windows", "item_windows", "slots", "changed", "kind")
+    both = best.withColumn("first", F.lit(1)).unionByName(runs.withColumn("first", F.lit(0)))
+    return both.groupBy("doc_id", "item_id").agg(F.max(row).alias("m")).select("doc_id", "item_id", "m.windows", "m.item_windows", "m.slots", "m.changed", "m.kind")
 
 
 def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
