@@ -49,6 +49,13 @@ def test_inserted_dropped_and_partial_items_are_found(spark):
     assert got == {(k + n, n) for n, _ in items for k in (0, 100, 200)}
 
 
+def test_items_of_numbers_and_short_items_are_found(spark):
+    items = [(1, "12 + 7, then 13 * 4, then 20 / 5"), (2, "What is 17 * 23?"), (3, "Solve 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 please"), (4, "Then add 4, 5, 6, 7, 8, 9, 10 and tell how many apples are left over in 3 4 5 6 7 8 9 10 11 12")]
+    docs = [(i, f"intro words {t} and more") for i, t in items] + [(14, "x then add 1, 2, 3, 14, 15, 16, 17 and tell how many apples are left over in 31 y"), (99, "What is 18 * 23? 12 + 7, then 13 * 5, then 20 / 5")]
+    got = {(r.doc_id, r.item_id) for r in decontamination.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3), (4, 4), (14, 4)}
+
+
 def test_whole_items_in_documents_are_found(spark):
     got = {(r.doc_id, r.item_id) for r in QUERIES["op1_template_decontamination"](spark, SF_DIR).collect()}
     plain = lambda t: " ".join(re.findall(r"[^\W_]+", t.lower()))

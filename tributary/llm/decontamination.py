@@ -6,8 +6,11 @@ templates are hash-joined with the benchmark's; along each alignment of a docume
 that fill the placeholders must map one to one, so a question with other numbers or names is caught while
 unrelated texts of the same shape are not. DataFrame operations only.
 
-Defined results: null and empty texts match nothing; items of fewer than ``MIN_TOKENS`` template tokens are not
-looked for; items shorter than a window are looked for whole; rows without doc_id are reported together as
+Windows of few ordinary words are not searched as templates. Items that consist of them, and items of fewer than
+``MIN_TOKENS`` template tokens, are found as they are: by ``VERBATIM`` words in a row, or whole if they are shorter.
+
+Defined results: null and empty texts match nothing; an item of a single word is found in each text that has the
+word; items shorter than a window are looked for whole; rows without doc_id are reported together as
 doc_id null; repeated rows and items change nothing; an empty benchmark gives an empty result; other columns
 are not read.
 """
@@ -17,17 +20,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, small, table
+from .common import BROADCAST_ROWS, small, stage, table
 
 WINDOW = 8
 MIN_TOKENS = 5
 #: A window needs this share of ordinary words, so that placeholders alone match nothing.
 MIN_LITERAL = 0.5
-#: An alignment counts from this share of the item's tokens, or from this many windows.
+#: An alignment counts from this share of the item's tokens in windows that are searched, or from this many windows.
 COVERAGE, LONG_RUN = 0.5, 20
 #: Offsets of a document and item that differ by at most this much continue one alignment: words were inserted or dropped.
 BAND = 8
-#: A verbatim run of so many words counts whatever the item's length.
+#: A verbatim run of so many words counts whatever the item's length or its share of placeholders; shorter items count whole.
 VERBATIM = 13
 
 NAME, NUM, UNIT = "\ue001", "\ue002", "\ue003"
@@ -90,7 +93,10 @@ def benchmark_windows(items: DataFrame, w: int = WINDOW) -> DataFrame:
     as a name there, so windows at the start of an item are kept under both readings.
     """
     it = _tokens(items.where("text IS NOT NULL").dropDuplicates(["item_id", "text"]), "item_id").where(F.size("c") >= MIN_TOKENS)
-    it = it.withColumn("len", F.least(F.size("c"), F.lit(w))).withColumn("item_windows", F.size("c") - F.col("len") + 1).withColumn("item_tokens", F.size("c"))
+    it = it.withColumn("len", F.least(F.size("c"), F.lit(w))).withColumn("item_windows", F.size("c") - F.col("len") + 1)
+    poor = lambda x: x.isin(NUM, NAME, UNIT)
+    rich = F.filter(_starts(F.col("c"), F.col("len")), lambda i: F.size(F.filter(F.slice("c", i, F.col("len")), lambda x: ~poor(x))) >= F.col("len") * F.lit(MIN_LITERAL))
+    it = it.withColumn("item_tokens", F.size(F.array_distinct(F.flatten(F.transform(rich, lambda i: F.sequence(i, i + F.col("len") - 1))))))
     win = it.withColumn("item_pos", F.explode_outer(_starts(F.col("c"), F.col("len"))))
     win = win.select("item_id", "item_pos", "len", "item_windows", "item_tokens", F.slice("c", F.col("item_pos"), F.col("len")).alias("words"), _fills(F.col("text"), F.col("c"), F.col("item_pos"), F.col("len")).alias("slots"))
     first = F.get("words", 0)
@@ -103,9 +109,9 @@ def benchmark_windows(items: DataFrame, w: int = WINDOW) -> DataFrame:
 
 
 def verbatim_runs(docs: DataFrame, items: DataFrame, n: int = VERBATIM) -> DataFrame:
-    """(doc_id, item_id, windows, item_windows) of documents with ``n`` words of an item in a row as they are."""
+    """(doc_id, item_id, windows, item_windows) of documents with ``n`` words, or all, of an item in a row as they are."""
     plain = lambda df, k: df.select(k, F.array_remove(F.split(F.lower("text"), BETWEEN), "").alias("r"))
-    it = plain(items.where("text IS NOT NULL").dropDuplicates(["item_id", "text"]), "item_id").where(F.size("r") >= n).withColumn("len", F.lit(n))
+    it = plain(items.where("text IS NOT NULL").dropDuplicates(["item_id", "text"]), "item_id").where(F.size("r") > 0).withColumn("len", F.least(F.size("r"), F.lit(n)))
     it = it.withColumn("item_windows", F.size("r") - F.col("len") + 1).withColumn("item_pos", F.explode(_starts(F.col("r"), F.col("len"))))
     bench = it.select("item_id", "item_pos", "len", "item_windows", F.slice("r", F.col("item_pos"), F.col("len")).alias("words")).withColumn("key", F.xxhash64("words"))
     lens = [r["len"] for r in bench.select("len").distinct().collect()] or [n]  # at most n values
@@ -128,7 +134,7 @@ def find(docs: DataFrame, items: DataFrame, w: int = WINDOW) -> DataFrame:
     """One row per contaminated document and item: (doc_id, item_id, windows, item_windows, slots, changed, kind).
 
     Windows count along one offset and along chains of neighbouring offsets, each with its own check of the slots.
-    Documents that hold only a verbatim run of ``VERBATIM`` words are reported with its windows of words and no slots.
+    Documents that hold only a verbatim run of words are reported with its windows of words and no slots.
 
     The benchmark's windows are broadcast when their counted number allows it; then documents are
     neither shuffled nor copied. Beyond that only (doc_id, position, hash) rows are shuffled for the join, and
@@ -160,6 +166,7 @@ def find(docs: DataFrame, items: DataFrame, w: int = WINDOW) -> DataFrame:
     lines = hits.groupBy("doc_id", "item_id", "item_windows", "item_tokens", "len", (F.col("p") - F.col("item_pos")).alias("offset")).agg(
         F.collect_set("item_pos").alias("pos"), F.array_distinct(F.flatten(F.collect_set(fills))).alias("fills")
     )
+    lines = stage(lines, "lines")  # few rows, read twice
     same = ["doc_id", "item_id", "item_windows", "item_tokens", "len"]
     order = Window.partitionBy(*same).orderBy("offset")
     gap = F.coalesce(F.col("offset") - F.lag("offset").over(order), F.lit(0))
