@@ -94,6 +94,13 @@ def test_secret_spans(spark):
     assert [x.t for x in got[7].extra] == ["Xk9pQz7RvT2mWc4LbN8yHs3JdF6g"] and not got[8].extra
 
 
+def test_runs_longer_than_a_base_span_are_judged(spark):
+    run = "Xk9pQz7RvT2mWc4LbN8yHs3JdF6g" + "0123456789abcdef01234567" + "Qz7RvT2mWc4LbN8yHs3J"
+    docs = spark.createDataFrame([(1, f"key {run} end"), (2, "key 0123456789abcdef01234567 end")], "doc_id long, text string")
+    got = {r.doc_id: [x.t for x in r.extra] for r in secrets.scan(docs, secrets.train(secrets.labelled_samples(spark, 1500))).collect()}
+    assert got == {1: [run], 2: []}
+
+
 def test_secret_query(spark):
     kinds = ("assign", "access", "hex")
     for r in QUERIES["op2_markov_secret_scan"](spark, SF_DIR).collect():

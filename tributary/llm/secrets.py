@@ -3,7 +3,7 @@
 Two first-order character models, one of random strings and one of ordinary identifiers, are counted from
 labelled samples; a token is reported when the log-likelihood ratio per transition favours the random model.
 The ratios are stored as whole numbers (1/1000 nat), so sums are exact and do not depend on order. Tokens
-that overlap a pattern's span are not reported again. DataFrame operations only.
+that lie within a pattern's span are not reported again; longer ones are judged whole. DataFrame operations only.
 
 Defined results: a null text counts as empty; a text without spans has empty ``spans`` and the hash of the
 empty string; offsets are code points, end exclusive; repeated rows are scanned each; texts are scanned whole.
@@ -118,7 +118,7 @@ def scan(docs: DataFrame, ratios: list[int], threshold: int = THRESHOLD) -> Data
     long_enough = lambda x: F.length(F.regexp_extract(x["t"], ASSIGN, 1)) >= 6
     d = docs.select("doc_id", _spans(t, ASSIGN, 0, long_enough).alias("a"), _spans(t, ACCESS, 1).alias("b"), _spans(t, HEX, 2).alias("h"), _spans(t, TOKEN, 3).alias("c"))
     d = d.select("doc_id", F.array_sort(F.concat("a", "b", "h")).alias("base"), "c")
-    free = F.filter("c", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    free = F.filter("c", lambda x: ~F.exists("base", lambda b: (b["s"] <= x["s"]) & (x["e"] <= b["e"])))
     d = d.select("doc_id", "base", F.when(F.size("c") > 0, free).otherwise(F.col("c")).alias("c"))
     odd = F.filter("c", lambda x: log_ratio(x["t"], ratios) > F.lit(threshold) * (F.length(x["t"]) - 1))
     return d.select("doc_id", "base", F.when(F.size("c") > 0, odd).otherwise(F.col("c")).alias("extra"))
