@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, small, stage, table
+from .common import BROADCAST_ROWS, maybe_broadcast, small, stage, table
 
 WINDOW = 8
 MIN_TOKENS = 5
@@ -32,6 +32,8 @@ COVERAGE, LONG_RUN = 0.5, 20
 BAND = 8
 #: A verbatim run of so many words counts whatever the item's length or its share of placeholders; shorter items count whole.
 VERBATIM = 13
+#: Tokens of the grams that say where a window may match; see ``_candidates``.
+GRAM = 4
 
 NAME, NUM, UNIT = "\ue001", "\ue002", "\ue003"
 UNITS = (
@@ -86,6 +88,49 @@ def _starts(c: Column, w) -> Column:
     return F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
 
 
+def _gram(n: int) -> tuple[int, int]:
+    """Gram length and stride for windows of ``n`` tokens: each holds exactly one gram that starts at a multiple of the stride."""
+    return min(GRAM, n), n - min(GRAM, n) + 1
+
+
+def _keys(bench: DataFrame) -> DataFrame:
+    """(glen, gkey): every gram of every benchmark window (len, words), wherever it stands in the window."""
+    g = F.least(F.col("len"), F.lit(GRAM))
+    grams = F.transform(F.sequence(F.lit(1), F.col("len") - g + 1), lambda o: F.xxhash64(F.slice("words", o, g)))
+    return bench.select(F.col("len").alias("glen"), F.explode(grams).alias("gkey")).distinct()
+
+
+def _candidates(tokens: DataFrame, c: str, lens: list[int], keys: DataFrame) -> DataFrame:
+    """``tokens`` once for each window (p, len) that may be one of the benchmark's, with its key.
+
+    Only grams at multiples of the stride are hashed, a fifth to a tenth of all positions. The few that the benchmark
+    holds name the windows around them, and each window has one such gram, so none is missed or named twice.
+    """
+    n, cols = F.size(c), tokens.columns
+
+    def aligned(k: int) -> Column:
+        g, step = _gram(k)
+        at = F.when(n >= k, F.sequence(F.lit(1), n - g + 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.struct(i.alias("a"), F.lit(k).alias("len"), F.xxhash64(F.slice(c, i, g)).alias("key")))
+
+    grams = [aligned(k) for k in lens]
+    # explode_outer: for explode the optimizer would add a filter that evaluates the hashes once more.
+    at = tokens.select(*cols, F.explode_outer(F.concat(*grams) if len(grams) > 1 else grams[0]).alias("w"))
+    at = at.select(*cols, F.col("w.a").alias("a"), F.col("w.len").alias("glen"), F.col("w.key").alias("gkey"))
+    at = at.join(F.broadcast(keys), ["gkey", "glen"], "left_semi")
+    first, last = F.greatest(F.lit(1), F.col("a") - F.col("glen") + F.least(F.col("glen"), F.lit(GRAM))), F.least(F.col("a"), n - F.col("glen") + 1)
+    around = F.when(first <= last, F.transform(F.sequence(first, last), lambda i: F.struct(i.alias("p"), F.xxhash64(F.slice(c, i, F.col("glen"))).alias("key"))))
+    at = at.select(*cols, F.col("glen").alias("len"), F.explode_outer(around).alias("w"))
+    return at.select(*cols, "len", F.col("w.p").alias("p"), F.col("w.key").alias("key"))
+
+
+def _every(tokens: DataFrame, c: str, lens: list[int], *ids: str) -> DataFrame:
+    """(ids, len, p, key) of every window of the tokens, for a join that shuffles."""
+    each = [F.transform(_starts(F.col(c), k), lambda i: F.struct(F.lit(k).alias("len"), i.alias("p"), F.xxhash64(F.slice(c, i, k)).alias("key"))) for k in lens]
+    at = tokens.select(*ids, F.explode_outer(F.concat(*each) if len(each) > 1 else each[0]).alias("w"))
+    return at.select(*ids, "w.len", "w.p", "w.key")
+
+
 def benchmark_windows(items: DataFrame, w: int = WINDOW) -> DataFrame:
     """(item_id, item_pos, len, key, words, slots, item_windows, item_tokens) of every window of every item.
 
@@ -116,17 +161,11 @@ def verbatim_runs(docs: DataFrame, items: DataFrame, n: int = VERBATIM) -> DataF
     bench = it.select("item_id", "item_pos", "len", "item_windows", F.slice("r", F.col("item_pos"), F.col("len")).alias("words")).withColumn("key", F.xxhash64("words"))
     lens = [r["len"] for r in bench.select("len").distinct().collect()] or [n]  # at most n values
     at = plain(docs.where("text IS NOT NULL"), "doc_id")
-
-    def hashed(k: int) -> Column:
-        return F.transform(_starts(F.col("r"), k), lambda i: F.struct(i.alias("p"), F.xxhash64(F.slice("r", i, k)).alias("key")))
-
-    hashes = [hashed(k) for k in lens]
-    at = at.select("doc_id", "r", F.explode_outer(F.concat(*hashes) if len(hashes) > 1 else hashes[0]).alias("w"))
     if small(bench, BROADCAST_ROWS // 8):
-        hits = at.select("doc_id", "r", F.col("w.p").alias("p"), F.col("w.key").alias("key")).join(F.broadcast(bench), "key")
+        hits = _candidates(at, "r", lens, _keys(bench)).join(F.broadcast(bench), ["key", "len"])
         hits = hits.where(F.slice("r", F.col("p"), F.col("len")) == F.col("words"))
     else:
-        hits = at.select("doc_id", F.col("w.key").alias("key")).join(bench, "key")  # 64 bits of hash; the texts are not shuffled
+        hits = _every(at, "r", lens, "doc_id").join(bench, ["key", "len"])  # 64 bits of hash; the texts are not shuffled
     return hits.groupBy("doc_id", "item_id").agg(F.count_distinct("item_pos").alias("windows"), F.max("item_windows").alias("item_windows"))
 
 
@@ -145,18 +184,10 @@ def find(docs: DataFrame, items: DataFrame, w: int = WINDOW) -> DataFrame:
     if not lens:
         lens = [w]
     tokens = _tokens(docs.where("text IS NOT NULL"), "doc_id")
-
-    def hashed(n: int) -> Column:
-        return F.transform(_starts(F.col("c"), n), lambda i: F.struct(i.alias("p"), F.xxhash64(F.slice("c", i, n)).alias("key")))
-
-    hashes = [hashed(n) for n in lens]
-    c_keys = F.concat(*hashes) if len(hashes) > 1 else hashes[0]
-    # explode_outer: for explode the optimizer would add a filter that evaluates the hashes once more.
     if small(bench, BROADCAST_ROWS // 8):
-        at = tokens.select("doc_id", "text", "c", F.explode_outer(c_keys).alias("w")).select("doc_id", "text", "c", F.col("w.p").alias("p"), F.col("w.key").alias("key"))
-        hits = at.join(F.broadcast(bench), "key")
+        hits = _candidates(tokens, "c", lens, _keys(bench)).join(F.broadcast(bench), ["key", "len"])
     else:
-        at = tokens.select("doc_id", F.explode_outer(c_keys).alias("w")).select("doc_id", F.col("w.p").alias("p"), F.col("w.key").alias("key")).join(bench, "key")
+        at = _every(tokens, "c", lens, "doc_id").join(bench, ["key", "len"])
         hits = at.join(tokens.select(F.col("doc_id").alias("d"), "text", "c"), F.col("doc_id").eqNullSafe(F.col("d"))).drop("d")
     hits = hits.where(F.slice("c", F.col("p"), F.col("len")) == F.col("words"))
     mine = _fills(F.col("text"), F.col("c"), F.col("p"), F.col("len"))
@@ -195,9 +226,14 @@ def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents without those that hold a benchmark item (documents without id stay)."""
-    bad = find(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: the documents without those that hold a benchmark item.
+
+    Rows without doc_id are told apart by their text (a hash stands in for the id), so a contaminated one goes as well.
+    Rows of one id stand or fall together. Extra columns stay as they are.
+    """
+    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)))
+    bad = find(docs.select(own.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(maybe_broadcast(stage(bad, "contaminated")), own == F.col("_bad"), "left_anti")
 
 
 QUERIES = {"op1_template_decontamination": op1_template_decontamination}
