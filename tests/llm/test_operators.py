@@ -180,8 +180,8 @@ def reach(n, linked):
     return label
 
 
-@pytest.mark.parametrize("bucket", [32, 1])
-def test_fingerprint_links_are_exactly_those_within_two_bits(spark, bucket):
+@pytest.mark.parametrize("block", [4096, 3])
+def test_fingerprint_links_are_exactly_those_within_two_bits(spark, block):
     rng = np.random.default_rng(2)
     seeds = [int(rng.integers(0, 2**63)) for _ in range(12)]
     fps = set(seeds)
@@ -194,7 +194,7 @@ def test_fingerprint_links_are_exactly_those_within_two_bits(spark, bucket):
     fps = sorted(fps)
     from tributary.llm.components import connected_components
 
-    edges = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), pair_bucket=bucket)
+    edges = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), block=block)
     comp = {r.node: r.component for r in connected_components(edges).collect()}
     want = reach(len(fps), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 2)
     groups = Counter()
@@ -246,6 +246,7 @@ def edited(text: str, seed: int, n: int = 5) -> str:
 @pytest.mark.parametrize("block", [4096, 16])
 def test_a_hundred_edits_of_one_original_are_one_group(spark, monkeypatch, block):
     monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", block * 256)
     base = words(300, 77)
     rows = [(500, base)] + [(i, edited(base, i)) for i in range(100)] + [(1000 + i, words(300, 2000 + i)) for i in range(5)]
     sets = {i: set(simhash.shingle_hashes(t, simhash.COPY_SHINGLE)) for i, t in rows}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,10 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode only."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tributary-"))
+        home = sc.getConf().get("spark.checkpoint.dir")
+        if not home and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(home or tempfile.mkdtemp(prefix="tributary-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -51,5 +55,24 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, limit) else df
 
 
-def same_columns(df: DataFrame, like: DataFrame) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`") for c in like.columns])
+def attach(rows: DataFrame, on: list[str], values: DataFrame, total: int, count: str = "n", least: int = 256) -> DataFrame:
+    """Inner join of ``rows`` with ``values``, unique by ``on``, whose column ``count`` says how many rows each key has.
+
+    Keys with more than a five-hundredth of the ``total`` rows are joined by broadcast, so no task gets such a key's rows;
+    there are at most five hundred of them.
+    """
+    many = F.col(count) > max(least, total // 500)
+    hot = values.where(many)
+    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(values.where(~many), on)
+    return rows.join(F.broadcast(hot), on).unionByName(cold)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have."""
+    used, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out

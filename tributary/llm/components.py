@@ -1,7 +1,9 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
 Every round is two aggregations and two equi-joins, so the graph stays distributed: neither
-edges nor labels are gathered on the driver, and no node's neighbour list is built.
+edges nor labels are gathered on the driver, and no node's neighbour list is built. The links of a node
+with a large share of all links, such as the least one of a large component, are not dealt by that node: its
+least neighbour is broadcast instead (``attach``).
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import attach, cut
 
 
 def _print(edges: DataFrame) -> tuple:
@@ -32,12 +34,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not before[0]:
             break
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n"))
+        large = attach(both.where("b > a"), ["a"], low, before[0]).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b")  # repeats do no harm; the round's end removes them
-        first = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
-        hooks = large.join(first, F.col("a") == F.col("k")).where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
-        e = cut(hooks.unionByName(first.select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct())
+        first = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        hooks = attach(large, ["a"], first, before[0]).where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
+        e = cut(hooks.unionByName(first.select("a", F.col("m").alias("b"))).distinct())
         after = _print(e)
         if after == before:
             break

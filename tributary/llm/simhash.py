@@ -6,10 +6,10 @@ first l segments differ in at most l * BITS / SEGMENTS bits (the strong pigeonho
 segments and 2 bits the first two segments of that chain are equal, which is the key candidates are joined
 on, and longer prefixes of the chain prune candidates before the full Hamming check.
 
-Equal fingerprints are one row from the start, so copies cost nothing. A key shared by many different
-fingerprints is not joined with itself: two fingerprints differ in at most two bits exactly if some value
-differs from each in at most one, so the members of such a bucket are linked through those values, a
-bounded number of rows per member and no pairs. No link is lost either way.
+Equal fingerprints are one row from the start, so copies cost nothing. The members of a bucket (one key) are
+compared inside tasks, by blocks of bounded size, and only a forest of links leaves a task, never pairs. Buckets of
+several blocks are finished in a second round, after the first one's components are known: only members of
+different components are compared there, so a bucket that is one large group costs rows, not pairs of blocks.
 
 Defined results: a null, empty or blank text has fingerprint zero, which links like any other; a null doc_id
 takes part but is never a component id (the id is null if no member has one); repeated rows give repeated
@@ -26,12 +26,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import attach, fresh, maybe_broadcast, stage, table
 from .components import connected_components
 
 SHINGLE, SEED, BITS, SEGMENTS = 3, 42, 2, 5
-#: Buckets with more different fingerprints than this are linked through shared neighbours, not by pairs.
-PAIR_BUCKET = 32
+#: Members of a bucket that are compared in one block.
+BLOCK = 4096
 _CHUNK = 1 << 15  # shingles whose bits are unpacked at once
 
 
@@ -88,58 +88,136 @@ def chain_key_length(bits: int = BITS, segments: int = SEGMENTS) -> int:
     return max(n for n in range(1, segments + 1) if n * bits // segments == 0)
 
 
-def _pruned(x: Column, i: Column, bits: int = BITS, segments: int = SEGMENTS) -> Column:
-    """Condition: from segment ``i`` on, every prefix of the chain is within its proportional budget."""
+def _forest(a: np.ndarray, b: np.ndarray, root: np.ndarray, lo: int, hi: int) -> Iterator[tuple[int, int]]:
+    """Those of the links (a, b) that join two components; ``root`` labels rows lo to hi and is brought up to date."""
+    for x, y in zip(a.tolist(), b.tolist()):
+        p, q = root[x], root[y]
+        if p != q:
+            own = root[lo:hi]
+            own[own == max(p, q)] = min(p, q)
+            yield x, y
+
+
+def _ring(bits: int, segments: int):
+    """Of rows (i, key, x, y, id, comp), sorted by the first four: a forest of the links within each block."""
     first = chain_key_length(bits, segments)
-    terms = []
-    for n in range(first + 1, segments + 1):
-        masks = F.array(*[F.lit(_mask(s, n, segments)) for s in range(segments)])
-        terms.append(F.bit_count(x.bitwiseAND(F.get(masks, i))) <= n * bits // segments)
-    cond = terms[0]
-    for t in terms[1:]:
-        cond = cond & t
-    return cond
+    masks = np.array([[_mask(s, n, segments) for s in range(segments)] for n in range(first + 1, segments + 1)], np.int64).view(np.uint64)
+    budgets = [n * bits // segments for n in range(first + 1, segments + 1)]
+
+    def run(rows: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
+        fp, chain = rows["id"].to_numpy(np.int64).view(np.uint64), rows["i"].to_numpy(np.int64)
+        size = np.diff(cuts)
+        end = np.repeat(cuts[1:], size)
+        begin = np.repeat(cuts[:-1], size)
+        _, root = np.unique(rows["comp"].to_numpy(np.int64), return_inverse=True)
+        out, at, d = [], np.flatnonzero(np.arange(len(fp)) + 1 < end), 1
+        while len(at):
+            a = at[root[at] != root[at + d]]
+            for mask, budget in zip(masks, budgets):  # prefixes of the chain; the last one is the whole ring
+                a = a[np.bitwise_count((fp[a] ^ fp[a + d]) & mask[chain[a]]) <= budget]
+            for x in a.tolist():
+                p, q = root[x], root[x + d]
+                if p != q:
+                    own = root[begin[x] : end[x]]
+                    own[own == max(p, q)] = min(p, q)
+                    out.append((x, x + d))
+            d += 1
+            at = at[at + d < end[at]]
+        return pd.DataFrame([(int(fp[x].view(np.int64)), int(fp[y].view(np.int64))) for x, y in out], columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _by_block(compare):
+    """``mapInPandas`` function that gives whole blocks, rows equal in (i, key, x, y), to ``compare(rows, cuts)``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: list[pd.DataFrame] = []  # the block that the last batch ended in
+        for b in batches:
+            if not len(b):
+                continue
+            rows = pd.concat([*kept, b], ignore_index=True)
+            k = rows[["i", "key", "x", "y"]].to_numpy(np.int64)
+            cuts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+            kept = [rows]
+            if len(cuts):
+                yield compare(rows.iloc[: cuts[-1]], np.r_[0, cuts])
+                kept = [rows.iloc[cuts[-1] :].reset_index(drop=True)]
+        if kept:
+            yield compare(kept[0], np.array([0, len(kept[0])]))
+
+    return run
+
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("i", "key", "x", "y").sortWithinPartitions("i", "key", "x", "y")
 
-def links(fps: DataFrame, bits: int = BITS, segments: int = SEGMENTS, pair_bucket: int = PAIR_BUCKET) -> DataFrame:
-    """Edges (a, b) that connect exactly the distinct fingerprints ``fps`` (fp) that links of ``bits`` bits connect.
 
-    Small buckets give links between fingerprints; large ones give links to values one bit away, which may
-    be no document's (they join only fingerprints that link with each other). ``bits`` is 2 for that path.
+def _home(block: int, salt: int, n: str = "n") -> tuple[Column, Column]:
+    """How many blocks a bucket of ``n`` rows has, and which one a row belongs to."""
+    g = F.greatest(F.lit(1), F.ceil(F.col(n) / F.lit(block))).cast("int")
+    return g, F.pmod(F.xxhash64(F.lit(salt), "id"), g).cast("int")
+
+
+def _open_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """``rows`` (i, key, id, comp, weight, ...) of buckets with several components, in pairs of blocks (x, y).
+
+    Every two members of different components meet: one of them at least is not of the bucket's commonest component.
+    So members of that one go to a block each and meet the blocks of the others; these meet each other as well.
     """
-    if bits != 2:
-        raise ValueError("large buckets are linked exactly for two bits only")
-    n = chain_key_length(bits, segments)
+    by = rows.groupBy("i", "key", "comp").agg(F.sum("weight").alias("w"), F.count("*").alias("m"))
+    open_ = by.groupBy("i", "key").agg(F.max_by("comp", F.struct("w", "comp")).alias("major"), F.sum("w").alias("all"), F.max("w").alias("most"), F.sum("m").alias("n"), F.count("*").alias("kinds")).where("kinds > 1")
+    total = int(open_.agg(F.sum("n")).first()[0] or 0)
+    rows = attach(rows, ["i", "key"], open_.withColumn("rest", F.col("all") - F.col("most")), total)
+    (gm, hm), (gn, hn) = _home(block, 11, "most"), _home(block, 12, "rest")
+    each = lambda g: F.sequence(F.lit(0), g - 1)
+    pair = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
+    major = F.transform(each(gn), lambda j: pair(j, gn + hm))
+    other = F.concat(F.transform(each(gn), lambda j: pair(F.least(hn, j), F.greatest(hn, j))), F.transform(each(gm), lambda j: pair(hn, gn + j)))
+    at = F.when(F.col("comp") == F.col("major"), major).otherwise(other)
+    keep = [c for c in rows.columns if c not in ("major", "all", "most", "n", "kinds", "rest")]
+    return rows.select(*keep, F.explode(at).alias("at")).select(*keep, "at.x", "at.y")
+
+
+def _with_components(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    return rows.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+
+
+def links(fps: DataFrame, bits: int = BITS, segments: int = SEGMENTS, block: int | None = None) -> DataFrame:
+    """Links (a, b) between the distinct fingerprints ``fps`` (fp), each of at most ``bits`` bits, that connect all which such links connect."""
+    block, n = block or BLOCK, chain_key_length(bits, segments)
     masks = [_mask(i, n, segments) for i in range(segments)]
-    keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("i", "key"))
+    keyed = fps.select(F.col("fp").alias("id"), F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("i", "key"))
     sizes = keyed.groupBy("i", "key").agg(F.count("*").alias("n")).where("n > 1")
-    keyed = keyed.join(sizes, ["i", "key"])
-    a = keyed.where(F.col("n") <= pair_bucket).select("i", "key", F.col("fp").alias("a"))
-    b = a.select(F.col("i").alias("bi"), F.col("key").alias("bk"), F.col("a").alias("b"))
-    x = F.col("a").bitwiseXOR(F.col("b"))
-    pairs = a.join(b, (F.col("i") == F.col("bi")) & (F.col("key") == F.col("bk")) & (F.col("a") < F.col("b")) & _pruned(x, F.col("i"), bits, segments) & (F.bit_count(x) <= bits)).select("a", "b")
-    free = F.array(*[F.array(F.lit(0).cast("long"), *[F.lit((1 << q) - (1 << 64) if q == 63 else 1 << q).cast("long") for q in range(64) if not (m >> q) & 1]) for m in (y % (1 << 64) for y in masks)])
-    near = keyed.where(F.col("n") > pair_bucket).select("i", "fp", F.explode(F.get(free, F.col("i"))).alias("bit"))
-    near = near.select("fp", F.col("fp").bitwiseXOR(F.col("bit")).alias("hub")).distinct()
-    shared = near.groupBy("hub").agg(F.count("*").alias("n")).where("n > 1").select("hub")
-    hubs = near.join(shared, "hub").select(F.col("fp").alias("a"), F.col("hub").alias("b"))
-    return pairs.unionByName(hubs)
+    keyed = stage(attach(keyed, ["i", "key"], sizes, segments * fps.count()), "ring")
+    rows = keyed.withColumns({"x": _home(block, 11)[1], "y": F.lit(0), "comp": F.col("id")}).select("i", "key", "x", "y", "id", "comp")
+    ring = _by_block(_ring(bits, segments))
+    found = stage(_dealt(rows).mapInPandas(ring, "a long, b long").distinct(), "links")
+    large = keyed.where(F.col("n") > block)
+    if large.limit(1).count():
+        rows = _with_components(large.select("i", "key", "id", F.lit(1).alias("weight")), connected_components(found))
+        more = _dealt(_open_blocks(rows, block).select("i", "key", "x", "y", "id", "comp")).mapInPandas(ring, "a long, b long")
+        found = found.unionByName(stage(more.distinct(), "links"))
+    return found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Every document with its fingerprint and the smallest doc_id reachable: (doc_id, fp, component_id)."""
     marks = stage(docs.select("doc_id", "text").mapInPandas(_scan, "doc_id long, fp long"), "simhash")
     groups = marks.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    return _grouped(marks, groups, links(groups.select("fp")))
+    ids = _least(groups.withColumnRenamed("fp", "id"), links(groups.select("fp")))
+    return marks.join(ids.select(F.col("id").alias("fp"), F.col("low").alias("component_id")), "fp")
 
 
-def _grouped(marks: DataFrame, groups: DataFrame, edges: DataFrame) -> DataFrame:
-    """``marks`` (doc_id, fp) with component_id: the least doc_id of all fingerprints that ``edges`` connect."""
-    comp = connected_components(edges)
-    named = groups.join(comp, groups.fp == comp.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("c"))
-    least = named.groupBy("c").agg(F.min("low").alias("component_id"))
-    ids = named.join(least, "c").select("fp", "component_id")
-    return marks.join(ids, "fp")
+def _least(groups: DataFrame, edges: DataFrame) -> DataFrame:
+    """``groups`` (id, low) with the least ``low`` of all groups that ``edges`` (a, b) connect: (id, low)."""
+    named = stage(_with_components(groups, connected_components(edges)), "groups")
+    least = named.groupBy("comp").agg(F.min("low").alias("low"), F.count("*").alias("n"))
+    several = named.where("id <> comp").select("comp").distinct()  # most components are one group
+    alone = named.join(several, "comp", "left_anti").select("id", "low")
+    linked = named.join(several, "comp", "left_semi").select("id", "comp")
+    least = least.where("n > 1")
+    return alone.unionByName(attach(linked, ["comp"], least, int(least.agg(F.sum("n")).first()[0] or 0)).select("id", "low"))
 
 
 #: Near copies: words per shingle and similarity; samples per document, shingles per sample.
@@ -147,10 +225,8 @@ COPY_SHINGLE, COPY_SIMILARITY, SAMPLES, SAMPLE_SIZE = 5, 0.8, 16, 3
 #: Least hashes in a sketch of a text's distinct shingles, and how many must agree for the texts to be compared: at similarity
 #: 0.8 fewer do with a chance of one in a million.
 SKETCH, AGREE = 64, 34
-#: Buckets with more members are compared in blocks of about this many, spread over tasks.
-BLOCK = 4096
-#: Partners a member is compared with grow by this factor per round, until none is left out.
-MORE = 16
+#: Shingles of the texts in one block of the second round; a text counts as a 1,024th at least.
+BLOCK_SHINGLES = 1 << 20
 _SPREAD = np.random.default_rng(4).integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 _SKETCH = np.random.default_rng(5).integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -192,7 +268,7 @@ def _scan_copies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         hashes = [shingle_hashes(t, COPY_SHINGLE) for t in b["text"].tolist()]
         yield pd.DataFrame({
-            "doc_id": b["doc_id"].astype("Int64"), "fp": _simhashes(hashes).view(np.int64), "sid": np.array([set_id(x) for x in hashes], np.int64),
+            "doc_id": b["doc_id"].astype("Int64"), "th": b["th"], "fp": _simhashes(hashes).view(np.int64), "sid": np.array([set_id(x) for x in hashes], np.int64),
             "samples": [sample_fingerprints(x) for x in hashes], "sketch": [sketch(x) for x in hashes],
         })
 
@@ -201,141 +277,122 @@ def similarity(a: set, b: set) -> float:
     return len(a & b) / max(1, len(a | b)) if a or b else 1.0
 
 
-def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        memo: dict = {}
+def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(id, grams, weight): the distinct shingles' hashes of each text, packed."""
+    for b in batches:
+        grams = [np.unique(np.array(shingle_hashes(t, COPY_SHINGLE), np.uint64)) for t in b["text"].tolist()]
+        yield pd.DataFrame({"id": b["id"], "grams": [g.tobytes() for g in grams], "weight": np.array([max(BLOCK_SHINGLES // 1024, len(g)) for g in grams], np.int64)})
 
-        def shingles(key, text):
-            if key not in memo:
-                if len(memo) > 64:
-                    memo.clear()
-                memo[key] = set(shingle_hashes(text, COPY_SHINGLE))
-            return memo[key]
 
-        ok = [similarity(shingles(a, x), shingles(b, y)) >= COPY_SIMILARITY for a, b, x, y in zip(batch["a"], batch["b"], batch["ta"], batch["tb"])]
+def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        a, b = ([np.frombuffer(g, np.uint64) for g in batch[c]] for c in ("ga", "gb"))
+        both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b)]
+        ok = [n / max(1, len(x) + len(y) - n) >= COPY_SIMILARITY for n, x, y in zip(both, a, b)]
         yield batch.loc[ok, ["a", "b"]]
 
 
-def _picks(most: int):
-    """Of rows (i, key, x, y, side, sid, comp, sketch), sorted by the first four: pairs of each block that the texts should decide.
+def _likely(rows: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
+    """Pairs (a, b) of each block that the shingles should decide: every member with its likeliest partner by the sketches.
 
-    Members of different components are compared, each with its ``most`` likeliest partners and its least likely
-    enough one. A pair (sid, sid) says that a member has more partners than that.
+    (a, a) says that a member has likely partners besides, or that its bucket has other blocks.
     """
-
-    def block(sid: np.ndarray, comp: np.ndarray, side: np.ndarray, marks: np.ndarray) -> Iterator[tuple]:
-        two = side.any()
-        other = np.flatnonzero(side) if two else np.arange(len(sid))
-        mine = np.flatnonzero(~side) if two else other
-        if (comp == comp[0]).all():
-            return
-        order = other[np.argsort(sid[other], kind="stable")]
-        theirs = np.ascontiguousarray(marks[order].T)
-        step = max(1, (1 << 21) // len(order))
-        for lo in range(0, len(mine), step):
-            m = mine[lo : lo + step]
-            near = np.zeros((len(m), len(order)), np.int8)
+    sid, many = rows["id"].to_numpy(np.int64), rows["many"].to_numpy(bool)
+    sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint16).reshape(-1, SKETCH)
+    out: set[tuple[int, int]] = set()
+    for lo, hi in zip(cuts.tolist(), cuts[1:].tolist()):
+        own, marks = sid[lo:hi], np.ascontiguousarray(sketches[lo:hi].T)
+        if many[lo]:
+            out.update(zip(own.tolist(), own.tolist()))
+        step = max(1, (1 << 21) // (hi - lo))
+        for at in range(0, hi - lo, step) if hi - lo > 1 else ():
+            top = min(at + step, hi - lo)
+            near = np.zeros((top - at, hi - lo), np.int8)
             for t in range(SKETCH):
-                near += marks[m, t][:, None] == theirs[t][None, :]
-            near[(comp[m][:, None] == comp[order][None, :]) | (near < AGREE)] = 0
-            for r in np.flatnonzero(near.any(axis=1)):
-                likely = np.flatnonzero(near[r])
-                best = likely[np.argsort(-near[r][likely], kind="stable")[:most]]
-                for j in {int(likely[0]), *map(int, best)}:
-                    yield min(sid[m[r]], sid[order[j]]), max(sid[m[r]], sid[order[j]])
-                if len(likely) > most:
-                    yield sid[m[r]], sid[m[r]]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: list[pd.DataFrame] = []  # the block that the last batch ended in
-
-        def blocks(rows: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
-            sid, comp, side = rows["sid"].to_numpy(np.int64), rows["comp"].to_numpy(np.int64), rows["side"].to_numpy(bool)
-            marks = np.frombuffer(b"".join(rows["sketch"]), np.uint16).reshape(-1, SKETCH)
-            found = {p for a, b in zip(cuts, cuts[1:]) if b - a > 1 for p in block(sid[a:b], comp[a:b], side[a:b], marks[a:b])}
-            return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
-
-        for b in batches:
-            if not len(b):
-                continue
-            kept.append(b)
-            rows = pd.concat(kept, ignore_index=True)
-            k = rows[["i", "key", "x", "y"]].to_numpy(np.int64)
-            cuts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
-            kept = [rows]
-            if len(cuts):
-                yield blocks(rows, np.r_[0, cuts])
-                kept = [rows.iloc[cuts[-1] :]]
-        if kept:
-            yield blocks(kept[0], np.array([0, len(kept[0])]))
-
-    return run
-
-
-def _candidates(keyed: DataFrame, comp: DataFrame | None, first: bool, most: int) -> DataFrame:
-    """Pairs (a, b) of members of one bucket in different components; see ``_picks``.
-
-    The ``first`` time, the members of a large bucket meet within their block and the bucket's least member, a row
-    each. Later, with most of them in one component, every two blocks of what is left meet.
-    """
-    if comp is None:
-        rows = keyed.withColumn("comp", F.col("sid"))
-    else:
-        rows = keyed.join(comp, keyed.sid == comp.node, "left").select("i", "key", "sid", "sketch", F.coalesce("component", "sid").alias("comp"))
-    open_ = rows.groupBy("i", "key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("sid").alias("least")).where("lo < hi")
-    rows = rows.join(open_, ["i", "key"])
-    g = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    mine = F.pmod(F.xxhash64(F.lit(11), "sid"), g).cast("int")
-    all_ = F.sequence(F.lit(0), g - 1)
-    if first:
-        at = F.when(F.col("sid") == F.col("least"), all_).otherwise(F.array(mine))
-        at = F.transform(at, lambda y: F.struct(y.alias("x"), y.alias("y"), F.lit(False).alias("side")))
-    else:
-        at = F.transform(all_, lambda y: F.struct(F.least(mine, y).alias("x"), F.greatest(mine, y).alias("y"), (mine > y).alias("side")))
-    rows = rows.select("i", "key", F.explode(at).alias("at"), "sid", "comp", "sketch").select("i", "key", "at.x", "at.y", "at.side", "sid", "comp", "sketch")
-    rows = rows.repartition("i", "key", "x", "y").sortWithinPartitions("i", "key", "x", "y")
-    return rows.mapInPandas(_picks(most), "a long, b long").distinct()
-
-
-def near_copies(docs: DataFrame) -> DataFrame:
-    """Every document with the smallest doc_id of its group of near copies: (doc_id, fp, component_id).
-
+                near += marks[t, at:top, None] == marks[t]
+            near[np.arange(top - at), np.arange(at, top)] = 0
+            best, others = near.argmax(axis=1), (near >= AGREE).sum(axis=1)
+            for r in np.flatnonzero(others).tolist():
+                x, y = int(own[at + r]), int(own[best[r]])
+                out.add((min(x, y), max(x, y)))
+                if others[r] > 1:
+                    out.add((x, x))
+    return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
+
+
+def _exact(rows: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
+    """A forest of the pairs (a, b) of each block whose shingle sets are similar, by counting common shingles of all pairs at once."""
+    sid, out = rows["id"].to_numpy(np.int64), []
+    _, root = np.unique(rows["comp"].to_numpy(np.int64), return_inverse=True)
+    for lo, hi in zip(cuts.tolist(), cuts[1:].tolist()):
+        sets = [np.frombuffer(g, np.uint64) for g in rows["grams"].iloc[lo:hi]]
+        size, m = np.array([len(g) for g in sets]), hi - lo
+        if m < 2 or (root[lo:hi] == root[lo]).all():
+            continue
+        _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row, shared = np.repeat(np.arange(m), size), (count > 1)[column]
+        row, column = row[shared], (np.cumsum(count > 1) - 1)[column[shared]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        common, width = np.zeros((m, m), np.float32), 2048
+        edges = np.searchsorted(column, np.arange(0, int(column.max(initial=-1)) + 1 + width, width))
+        for k, (s, e) in enumerate(zip(edges, edges[1:])):
+            x = np.zeros((m, width), np.float32)
+            x[row[s:e], column[s:e] - k * width] = 1
+            common += x @ x.T
+        for r in range(m - 1):
+            n = common[r, r + 1 :].astype(np.float64)
+            hit = np.flatnonzero((n / np.maximum(1, size[r] + size[r + 1 :] - n) >= COPY_SIMILARITY) & (root[lo + r] != root[lo + r + 1 : hi])) + r + 1 + lo
+            out += _forest(np.full(len(hit), lo + r), hit, root, lo, hi)
+    return pd.DataFrame([(int(sid[x]), int(sid[y])) for x, y in out], columns=["a", "b"], dtype="int64")
+
+
+def near_copies(docs: DataFrame, block: int | None = None) -> DataFrame:
+    """Every row of ``docs`` with the least row of its group of near copies: (doc_id, th, fp, component_id, low).
+
+    ``th`` is a hash of the text, ``low`` the struct (missing, doc_id, th) of the least row; a missing id comes last.
     Near copies share ``COPY_SIMILARITY`` of their distinct five-word shingles; texts with the same shingles are one row
     from the start. Fingerprints of near copies may differ in more bits than a segment key survives, so fingerprints of
-    samples name candidates besides the pigeonring links of whole texts, and the texts decide where sketches of their
-    shingle sets agree; equal fingerprints alone join nothing. Members of a bucket are compared in rounds: each with its
-    likeliest partners of other components, then, where the texts left them apart, with more, until every pair of a
-    bucket is in one component or was decided by its texts. Near copies agree in some of the ``SAMPLES`` samples: at
-    similarity 0.8 all differ with a chance below one in ten thousand.
+    samples name candidates besides the pigeonring links of whole texts, and the shingle sets decide; equal fingerprints
+    alone join nothing. Near copies agree in some of the ``SAMPLES`` samples: at similarity 0.8 all differ with a chance
+    below one in ten thousand. In the first round every member of a bucket is compared with its likeliest partner there.
+    Members with further likely partners go to the second, where all of a bucket's that are not yet of one component are
+    compared inside tasks, in blocks of bounded size that return a forest. So no pair of a bucket is left out, and rows
+    follow the members, not the pairs.
     """
-    marks = stage(docs.select("doc_id", "text").mapInPandas(_scan_copies, "doc_id long, fp long, sid long, samples array<long>, sketch binary"), "simhash-copies")
-    groups = marks.groupBy("sid").agg(F.min("doc_id").alias("low"), F.min("sketch").alias("sketch"))
-    fps = marks.select("fp", "sid").distinct()
-    near = stage(links(fps.select("fp").distinct()), "links")
-    ends = near.select(F.col("b").alias("key"), F.col("a").alias("fp")).unionByName(near.select(F.col("b").alias("key"), F.col("b").alias("fp")))
-    ends = ends.unionByName(fps.select(F.col("fp").alias("key"), "fp")).distinct()
-    keyed = marks.select("sid", F.posexplode("samples").alias("i", "key")).unionByName(ends.join(fps, "fp").select("sid", F.lit(-1).alias("i"), "key")).distinct()
-    shared = keyed.groupBy("i", "key").agg(F.count("*").alias("n")).where("n > 1")
-    large = shared.where(F.col("n") > BLOCK).limit(1).count() > 0
-    keyed = keyed.join(shared.drop("n"), ["i", "key"]).join(groups.select("sid", "sketch"), "sid")
-    keyed = stage(keyed.select("i", "key", "sid", "sketch"), "buckets")
-    low = groups.where("low IS NOT NULL")
-    tested, comp, most, first, edges = None, None, 1, True, None
-    while True:
-        found = stage(_candidates(keyed, comp, first, most), "pairs")
-        pairs = found.where("a < b")
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        ends = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-        texts = docs.select("doc_id", "text").join(low.join(ends, "sid").select(F.col("low").alias("doc_id"), "sid"), "doc_id").groupBy("sid").agg(F.first("text").alias("text"))
-        texts = stage(texts, "texts")
-        sided = pairs.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("sid").alias("b"), F.col("text").alias("tb")), "b")
-        sure = stage(sided.select("a", "b", "ta", "tb").mapInPandas(_verify, "a long, b long"), "sure")
-        edges = sure if edges is None else edges.unionByName(sure)
-        if not (first and large) and not found.where("a = b").limit(1).count():
-            return _grouped(marks.select("doc_id", F.col("sid").alias("fp"), F.col("fp").alias("f")), groups.select(F.col("sid").alias("fp"), "low"), edges).select("doc_id", F.col("f").alias("fp"), "component_id")
-        tested = found.where("a < b") if tested is None else tested.unionByName(found.where("a < b"))
-        comp, most, first = connected_components(edges), most * MORE, False
+    block = block or BLOCK
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    marks = stage(rows.mapInPandas(_scan_copies, "doc_id long, th long, fp long, sid long, samples array<long>, sketch binary"), "simhash-copies")
+    row = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id"), F.col("th"))
+    groups = stage(marks.groupBy(F.col("sid").alias("id")).agg(F.min(row).alias("low"), F.min("sketch").alias("sketch")), "groups")
+    fps = marks.select("fp", F.col("sid").alias("id")).distinct()
+    near = connected_components(links(fps.select("fp").distinct()))
+    ring = fps.join(near, fps.fp == near.node, "left").select("id", F.lit(-1).alias("i"), F.coalesce("component", "fp").alias("key"))
+    keyed = marks.select(F.col("sid").alias("id"), F.posexplode("samples").alias("i", "key")).unionByName(ring).distinct()
+    sizes = keyed.groupBy("i", "key").agg(F.count("*").alias("n")).where("n > 1")
+    keyed = stage(attach(keyed, ["i", "key"], sizes, (SAMPLES + 1) * groups.count()), "buckets")
+    first = keyed.join(groups.select("id", "sketch"), "id").withColumns({"x": _home(block, 11)[1], "y": F.lit(0), "many": F.col("n") > block})
+    found = stage(_dealt(first.select("i", "key", "x", "y", "id", "many", "sketch")).mapInPandas(_by_block(_likely), "a long, b long").distinct(), "pairs")
+
+    def grams(ids: DataFrame, name: str) -> DataFrame:
+        """(id, grams, weight) of the groups ``ids``, read from the texts of their least rows."""
+        at = groups.select("id", F.col("low.doc_id").alias("d2"), F.col("low.th").alias("t2")).join(ids, "id")
+        at = maybe_broadcast(at)
+        texts = rows.join(at, rows.doc_id.eqNullSafe(at.d2) & (rows.th == at.t2)).select("id", "text")
+        return stage(texts.dropDuplicates(["id"]).mapInPandas(_sets, "id long, grams binary, weight long"), name)
+
+    pairs, left = found.where("a < b"), found.where("a = b").select(F.col("a").alias("id"))
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(left).distinct()
+    sets = grams(ends, "grams")
+    sided = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
+    edges = stage(sided.select("a", "b", "ga", "gb").mapInPandas(_verify, "a long, b long"), "sure")
+    if left.limit(1).count():
+        rest = keyed.select("i", "key", "id").join(left, "id").join(sets.select("id", "weight"), "id")
+        rest = stage(_open_blocks(_with_components(rest, connected_components(edges)), BLOCK_SHINGLES), "open")
+        rest = rest.join(sets.select("id", "grams"), "id").select("i", "key", "x", "y", "id", "comp", "grams")
+        edges = edges.unionByName(stage(_dealt(rest).mapInPandas(_by_block(_exact), "a long, b long").distinct(), "sure"))
+    least = _least(groups.select("id", "low"), edges)
+    return marks.select("doc_id", "th", "fp", F.col("sid").alias("id")).join(least, "id").select("doc_id", "th", "fp", F.when(~F.col("low.missing"), F.col("low.doc_id")).alias("component_id"), "low")
 
 
 def op4_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,10 +401,21 @@ def op4_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near copies the document with the smallest doc_id (without id: all stay)."""
-    keep = near_copies(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """Pipeline stage: of each group of near copies the row with the smallest doc_id (a missing one comes last).
+
+    Different texts under one id are different rows; of rows equal in id and text one stays. Extra columns stay.
+    """
+    doc, th, own = fresh(docs, "_doc", "_th", "_own")
+    found = near_copies(docs).groupBy("doc_id", "th").agg(F.min("low").alias("low"), F.count("*").alias("n"))
+    first = (F.col("low.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("low.th") == F.col("th"))
+    found = stage(found.select(F.col("doc_id").alias(doc), F.col("th").alias(th), first.alias(own), "n").where(F.col(th).isNotNull() & (~F.col(own) | (F.col("n") > 1))), "dropped")
+    same = docs["doc_id"].eqNullSafe(F.col(doc)) & (F.xxhash64(docs["text"]) == F.col(th))
+    kept = docs.join(maybe_broadcast(found.select(doc, th)), same, "left_anti")
+    twice = found.where(own).select(doc, th)
+    if not twice.limit(1).count():
+        return kept
+    one = docs.join(twice, same).dropDuplicates([doc, th]).drop(doc, th)
+    return kept.unionByName(one)
 
 
 QUERIES = {"op4_simhash_pigeonring": op4_simhash_pigeonring}
