@@ -8,8 +8,10 @@ document plus one fractional repetition: the documents that a seeded hash ranks
 still missing. DataFrame operations only.
 
 Defined results: a null or blank text has size 0 and takes 0; a null source is a source of its own and
-comes last; repeated rows are mixed one by one; an empty table gives an empty result; an all-zero corpus
-has targets 0; other columns are not read.
+comes last; rows without doc_id are ranked by a hash of their text; ties of the rank (one id) go by size, then
+by a hash of the text, and rows equal in all these are alike; a document of any length is taken whole or not;
+an empty table gives an empty result; an all-zero corpus has targets 0; other columns are not read (the stage
+returns them).
 """
 
 from __future__ import annotations
@@ -54,8 +56,10 @@ def mix(docs: DataFrame, share: float = 1.5, epochs: float = 2.0, weights: tuple
     The fractional repetition of a source takes documents in the order of a seeded hash. Hash prefixes are
     summed first (4096 buckets a source), so only the one bucket that holds the cut is ranked row by row.
     """
-    h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = docs.select("doc_id", "source", *keep, word_count(F.col("text")).alias("size"), h.alias("h"), F.substring(h, 1, HASH_PREFIX).alias("bucket"))
+    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
+    h = F.md5(F.concat(F.lit(f"{seed}:"), own))
+    rows = docs.select("doc_id", "source", *keep, word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("th"), h.alias("h"))
+    rows = rows.withColumn("bucket", F.substring("h", 1, HASH_PREFIX))
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     targets = water_fill(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), share, epochs, weights)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -67,11 +71,11 @@ def mix(docs: DataFrame, share: float = 1.5, epochs: float = 2.0, weights: tuple
     b = b.join(targets, F.col("b_source").eqNullSafe(F.col("t_source"))).drop("t_source")
     b = b.withColumn("cut", F.when(F.col("before") + F.col("words") <= F.col("missing"), F.lit(1)).when(F.col("before") >= F.col("missing"), F.lit(0)))
     rows = rows.join(b, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket"))).drop("b_source", "b_bucket")
-    edge = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size")
+    edge = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size", "th")
     at = F.col("before") + F.sum("size").over(edge.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") / F.lit(2.0)
     settled = rows.where("cut IS NOT NULL").withColumn("extra", F.col("cut").cast("long"))
     ranked = rows.where("cut IS NULL").withColumn("extra", F.when(at < F.col("missing"), F.lit(1)).otherwise(F.lit(0)).cast("long"))
-    return settled.unionByName(ranked).withColumn("repeats", F.col("whole") + F.col("extra")).drop("h", "bucket", "words", "before", "cut", "extra", "whole", "missing")
+    return settled.unionByName(ranked).withColumn("repeats", F.col("whole") + F.col("extra")).drop("h", "th", "bucket", "words", "before", "cut", "extra", "whole", "missing")
 
 
 def op10_capped_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,16 +85,18 @@ def op10_capped_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document as often as the mix repeats it (blank documents, which take nothing, stay once)."""
-    mixed = mix(docs, keep=("text", "lang", "n_chars"))
+    row = "row"
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    mixed = mix(docs.select("doc_id", "source", "text", whole.alias(row)), keep=(row,))
     times = F.when(F.col("size") > 0, F.col("repeats")).otherwise(F.lit(1)).cast("int")
-    out = mixed.withColumn("copy", F.explode(F.array_repeat(F.lit(True), times)))
-    return out.select(*docs.columns)
+    out = mixed.select(row, F.explode(F.array_repeat(F.lit(True), times)))
+    return out.select(*[F.col(f"{row}.`{c}`").alias(c) for c in docs.columns])
 
 
 ORACLE_MIX = r"""
 rows AS (
   SELECT d.*, CAST(COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('mix-1:' || COALESCE(CAST(doc_id AS VARCHAR), '')) AS h
+         md5('mix-1:' || COALESCE(CAST(doc_id AS VARCHAR), 't' || md5(COALESCE(text, '')))) AS h
   FROM {docs} d),
 src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM rows GROUP BY source),
 weighed AS (

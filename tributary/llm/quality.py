@@ -266,12 +266,26 @@ def op7_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("kept", F.col("score") >= REJECT)
 
 
+def score_column(model: CoTrained, spark: SparkSession):
+    """Function of the columns text, source and lang: the combined score."""
+    sent = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def combined(text: pd.Series, source: pd.Series, lang: pd.Series) -> pd.Series:
+        texts = [t or "" for t in text]
+        parts = [
+            sent.value.score(np.stack([text_view(t) for t in texts[at : at + 500]]), np.stack([page_view(*x) for x in zip(texts[at : at + 500], source[at : at + 500], lang[at : at + 500])]))[:, 2]
+            for at in range(0, len(texts), 500)
+        ]
+        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+
+    return combined
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that the combined view does not reject."""
+    """Pipeline stage: the documents that the combined view does not reject; all columns stay as they are."""
     model = train(docs, table(spark, sf_dir, "labels"))
-    known = ("doc_id", "text", "lang", "source", "n_chars")
-    out = score(docs, model, known).where(F.col("score") >= REJECT)
-    return out.select(*docs.columns)
+    return docs.where(score_column(model, spark)("text", "source", "lang") >= REJECT)
 
 
 QUERIES = {"op7_cotrained_quality": op7_cotrained_quality}

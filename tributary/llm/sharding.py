@@ -2,11 +2,15 @@
 
 Records are hashed into a fixed number of virtual slots; a versioned table says which shard
 owns each slot. Adding a shard appends a version in which some slots point to the new shard and
-all others stay, so rows move only into the new shard. DataFrame operations only.
+all others stay, so rows move only into the new shard. ``rebalance`` appends a version edited by the
+bytes that slots were measured to hold. The map is a table in the shared folder, written once per
+change and read back. DataFrame operations only.
 
 Defined results: a null or empty text has size 1 (its newline) and text_crc32 0; a null doc_id
-hashes as the empty key; repeated rows get slots of their own; an empty table gives an empty
-result; other columns of the input, whatever their names, are not read.
+hashes as the empty key, and such rows are numbered in ``PARTS`` parts by their texts; repeated rows get places of
+their own, ties in any order; texts of any length are only measured; an empty table gives an empty
+result; other columns of the input, whatever their names, are not read (the stage returns them; a column
+named shard or slot is replaced).
 """
 
 from __future__ import annotations
@@ -14,9 +18,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, stage, table
 
 VIRTUAL_SLOTS = 4096
+#: Parts of a virtual slot that are numbered apart, so one key's rows do not all meet in one task.
+PARTS = 16
 
 
 def virtual_slot(key, slots: int = VIRTUAL_SLOTS, seed: int = 17):
@@ -85,28 +91,28 @@ def slot_statistics(rows: DataFrame) -> DataFrame:
 def assign_shards(docs: DataFrame, slot_map: DataFrame, version: int, slots: int = VIRTUAL_SLOTS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Every document with its shard under ``version`` and its place in that shard, counted from 0 without gaps.
 
-    Places are numbered per virtual slot and shifted by the rows in the shard's earlier slots, so no task ever
-    sorts a whole shard. Only keys, sizes and checksums are shuffled, never texts (``keep`` names further columns).
+    Places are numbered per part of a virtual slot and shifted by the rows in the shard's earlier parts, so no task
+    ever sorts a whole shard. Only keys, sizes and checksums are shuffled, never texts (``keep`` names further columns).
     """
-    rows = docs.select(
-        "doc_id", *keep,
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
-        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
-        virtual_slot(F.col("doc_id"), slots).alias("vslot"),
-    )
+    size, crc = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    rows = docs.select("doc_id", *keep, size.alias("size"), crc.alias("text_crc32"), virtual_slot(F.col("doc_id"), slots).alias("vslot"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("text_crc32", "size"), F.lit(PARTS)).cast("int"))
     owner = slot_map.where(F.col("version") == version).select("vslot", "shard")
-    stats = slot_statistics(rows)
-    w = Window.partitionBy("shard").orderBy("vslot")
-    place = stats.join(F.broadcast(owner), "vslot").select("vslot", "shard", "slot_bytes", (F.sum("slot_rows").over(w) - F.col("slot_rows")).alias("before"))
-    inner = Window.partitionBy("vslot").orderBy(F.col("doc_id").asc_nulls_last(), "text_crc32", "size")
+    stats = rows.groupBy("vslot", "part").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"))
+    w = Window.partitionBy("shard").orderBy("vslot", "part")
+    place = stats.join(F.broadcast(owner), "vslot").select(
+        "vslot", "part", "shard", F.sum("bytes").over(Window.partitionBy("vslot")).alias("slot_bytes"), (F.sum("rows").over(w) - F.col("rows")).alias("before")
+    )  # at most slots x PARTS rows
+    inner = Window.partitionBy("vslot", "part").orderBy(F.col("doc_id").asc_nulls_last(), "text_crc32", "size")
     numbered = rows.withColumn("r", F.row_number().over(inner))
-    return numbered.join(F.broadcast(place), "vslot").withColumn("slot", (F.col("before") + F.col("r") - 1).cast("long")).drop("before", "r")
+    return numbered.join(F.broadcast(place), ["vslot", "part"]).withColumn("slot", (F.col("before") + F.col("r") - 1).cast("long")).drop("before", "r", "part")
 
 
 def op6_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Law ``key``: version 1 of the stored map decides, and version 2, with one more shard, for ``grown_shard``."""
     docs = table(spark, sf_dir, "documents")
-    slot_map = initial_map(spark, 8)
-    grown = _grow(slot_map, 8, VIRTUAL_SLOTS).select("vslot", F.col("shard").alias("grown_shard"))
+    slot_map = stage(add_shard(stage(initial_map(spark, 8), "slot-map")), "slot-map")
+    grown = slot_map.where("version = 2").select("vslot", F.col("shard").alias("grown_shard"))
     out = assign_shards(docs, slot_map, 1)
     return out.join(F.broadcast(grown), "vslot").select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard",
@@ -115,9 +121,13 @@ def op6_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: the documents with shard and place, texts included."""
-    placed = assign_shards(docs, initial_map(spark, 8), 1, keep=("text", "lang", "source", "n_chars"))
-    return placed.select("doc_id", "text", "lang", "source", "n_chars", "shard", "slot")
+    """Last pipeline stage: all columns of the documents with shard and slot, under a map that was rebalanced by measured bytes."""
+    sized = docs.select(virtual_slot(F.col("doc_id")).alias("vslot"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"))
+    per_slot = slot_statistics(sized).select("vslot", F.col("slot_bytes").alias("bytes"))
+    slot_map = stage(rebalance(stage(initial_map(spark, 8), "slot-map"), stage(per_slot, "slot-bytes")), "slot-map")
+    (row,) = fresh(docs.select("doc_id", "text"), "row")
+    placed = assign_shards(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row)), slot_map, 2, keep=(row,))
+    return placed.select(*[F.col(f"{row}.`{c}`").alias(c) for c in docs.columns if c.lower() not in ("shard", "slot")], "shard", "slot")
 
 
 QUERIES = {"op6_virtual_slot_sharding": op6_virtual_slot_sharding}
