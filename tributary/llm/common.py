@@ -59,10 +59,12 @@ def attach(rows: DataFrame, on: list[str], values: DataFrame, total: int, count:
     """Inner join of ``rows`` with ``values``, unique by ``on``, whose column ``count`` says how many rows each key has.
 
     Keys with more than a five-hundredth of the ``total`` rows are joined by broadcast, so no task gets such a key's rows;
-    there are at most five hundred of them.
+    there are at most five hundred of them. Without such a key this is a plain join.
     """
     many = F.col(count) > max(least, total // 500)
     hot = values.where(many)
+    if not hot.limit(1).count():
+        return rows.join(values, on)
     cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(values.where(~many), on)
     return rows.join(F.broadcast(hot), on).unionByName(cold)
 

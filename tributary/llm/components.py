@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 from .common import attach, cut
 
 
-def _print(edges: DataFrame) -> tuple:
-    """What tells one edge set from another: count and two order-free sums."""
-    h = F.xxhash64("a", "b")
-    row = edges.agg(F.count("*"), F.sum(F.shiftright(h, 20)), F.bit_xor(h)).first()
-    return tuple(row)
+def _both(e: DataFrame) -> DataFrame:
+    return e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def _print(e: DataFrame) -> tuple:
+    """What tells one edge set from another: count and order-free sums; last, the most links of a node."""
+    nodes = _both(e).groupBy("a").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("b", "a")).alias("h"))
+    h = F.xxhash64("a", "n", "h")
+    return tuple(nodes.agg(F.sum("n"), F.bit_xor(h), F.sum(F.shiftright(h, 20)), F.max("n")).first())
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -31,14 +35,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     e = cut(e)
     before = _print(e)
     for _ in range(max_rounds):
-        if not before[0]:
+        if not before[0]:  # null for no edges
             break
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both, uneven = _both(e), before[3] > max(256, before[0] // 1000)
+        join = (lambda rows, values: attach(rows, ["a"], values, before[0] // 2)) if uneven else (lambda rows, values: rows.join(values, "a"))
         low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n"))
-        large = attach(both.where("b > a"), ["a"], low, before[0]).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = join(both.where("b > a"), low).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b")  # repeats do no harm; the round's end removes them
         first = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        hooks = attach(large, ["a"], first, before[0]).where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
+        hooks = join(large, first).where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
         e = cut(hooks.unionByName(first.select("a", F.col("m").alias("b"))).distinct())
         after = _print(e)
         if after == before:

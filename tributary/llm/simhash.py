@@ -7,7 +7,7 @@ segments and 2 bits the first two segments of that chain are equal, which is the
 on, and longer prefixes of the chain prune candidates before the full Hamming check.
 
 Equal fingerprints are one row from the start, so copies cost nothing. The members of a bucket (one key) are
-compared inside tasks, by blocks of bounded size, and only a forest of links leaves a task, never pairs. Buckets of
+compared inside tasks, by blocks of bounded size, and only a star of each component leaves a task, never pairs. Buckets of
 several blocks are finished in a second round, after the first one's components are known: only members of
 different components are compared there, so a bucket that is one large group costs rows, not pairs of blocks.
 
@@ -88,18 +88,25 @@ def chain_key_length(bits: int = BITS, segments: int = SEGMENTS) -> int:
     return max(n for n in range(1, segments + 1) if n * bits // segments == 0)
 
 
-def _forest(a: np.ndarray, b: np.ndarray, root: np.ndarray, lo: int, hi: int) -> Iterator[tuple[int, int]]:
-    """Those of the links (a, b) that join two components; ``root`` labels rows lo to hi and is brought up to date."""
-    for x, y in zip(a.tolist(), b.tolist()):
-        p, q = root[x], root[y]
-        if p != q:
-            own = root[lo:hi]
-            own[own == max(p, q)] = min(p, q)
-            yield x, y
+def _join(root: np.ndarray, lo: int, hi: int, x: int, y: int) -> None:
+    """Give the components of rows ``x`` and ``y`` one label among rows lo to hi."""
+    p, q = root[x], root[y]
+    if p != q:
+        own = root[lo:hi]
+        own[own == max(p, q)] = min(p, q)
+
+
+def _star(ids: np.ndarray, comp: np.ndarray, root: np.ndarray, cuts: np.ndarray) -> pd.DataFrame:
+    """Links (a, b) of each block from the least id of every new component to one member of each that it joined."""
+    block = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    f = pd.DataFrame({"block": block, "root": root[: len(block)], "comp": comp[: len(block)], "id": ids[: len(block)]})
+    f = f[f["root"].ne(f["comp"]) | f.duplicated(["block", "root"], keep=False)].groupby(["block", "root", "comp"], sort=False)["id"].min().reset_index()
+    f["a"] = f.groupby(["block", "root"])["id"].transform("min")
+    return f.loc[f["a"] != f["id"], ["a", "id"]].rename(columns={"id": "b"}).drop_duplicates()
 
 
 def _ring(bits: int, segments: int):
-    """Of rows (i, key, x, y, id, comp), sorted by the first four: a forest of the links within each block."""
+    """Of rows (i, key, x, y, id, comp), sorted by the first four: a star of each component within each block."""
     first = chain_key_length(bits, segments)
     masks = np.array([[_mask(s, n, segments) for s in range(segments)] for n in range(first + 1, segments + 1)], np.int64).view(np.uint64)
     budgets = [n * bits // segments for n in range(first + 1, segments + 1)]
@@ -109,21 +116,18 @@ def _ring(bits: int, segments: int):
         size = np.diff(cuts)
         end = np.repeat(cuts[1:], size)
         begin = np.repeat(cuts[:-1], size)
-        _, root = np.unique(rows["comp"].to_numpy(np.int64), return_inverse=True)
-        out, at, d = [], np.flatnonzero(np.arange(len(fp)) + 1 < end), 1
+        _, comp = np.unique(rows["comp"].to_numpy(np.int64), return_inverse=True)
+        root = comp.copy()
+        at, d = np.flatnonzero(np.arange(len(fp)) + 1 < end), 1
         while len(at):
             a = at[root[at] != root[at + d]]
             for mask, budget in zip(masks, budgets):  # prefixes of the chain; the last one is the whole ring
                 a = a[np.bitwise_count((fp[a] ^ fp[a + d]) & mask[chain[a]]) <= budget]
             for x in a.tolist():
-                p, q = root[x], root[x + d]
-                if p != q:
-                    own = root[begin[x] : end[x]]
-                    own[own == max(p, q)] = min(p, q)
-                    out.append((x, x + d))
+                _join(root, begin[x], end[x], x, x + d)
             d += 1
             at = at[at + d < end[at]]
-        return pd.DataFrame([(int(fp[x].view(np.int64)), int(fp[y].view(np.int64))) for x, y in out], columns=["a", "b"], dtype="int64")
+        return _star(fp.view(np.int64), comp, root, cuts)
 
     return run
 
@@ -155,7 +159,7 @@ def _dealt(rows: DataFrame) -> DataFrame:
 
 def _home(block: int, salt: int, n: str = "n") -> tuple[Column, Column]:
     """How many blocks a bucket of ``n`` rows has, and which one a row belongs to."""
-    g = F.greatest(F.lit(1), F.ceil(F.col(n) / F.lit(block))).cast("int")
+    g = F.greatest(F.lit(1), F.ceil(F.expr(n) / F.lit(block))).cast("int")
     return g, F.pmod(F.xxhash64(F.lit(salt), "id"), g).cast("int")
 
 
@@ -184,17 +188,23 @@ def _with_components(rows: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def links(fps: DataFrame, bits: int = BITS, segments: int = SEGMENTS, block: int | None = None) -> DataFrame:
-    """Links (a, b) between the distinct fingerprints ``fps`` (fp), each of at most ``bits`` bits, that connect all which such links connect."""
+    """Pairs (a, b) of the distinct fingerprints ``fps`` (fp) that connect exactly what links of at most ``bits`` bits connect.
+
+    In each bucket, the least fingerprint of a component is paired with the others.
+    """
     block, n = block or BLOCK, chain_key_length(bits, segments)
     masks = [_mask(i, n, segments) for i in range(segments)]
     keyed = fps.select(F.col("fp").alias("id"), F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("i", "key"))
-    sizes = keyed.groupBy("i", "key").agg(F.count("*").alias("n")).where("n > 1")
-    keyed = stage(attach(keyed, ["i", "key"], sizes, segments * fps.count()), "ring")
-    rows = keyed.withColumns({"x": _home(block, 11)[1], "y": F.lit(0), "comp": F.col("id")}).select("i", "key", "x", "y", "id", "comp")
+    large = stage(keyed.groupBy("i", "key").agg(F.count("*").alias("n")).where(F.col("n") > block), "large")
+    several = large.limit(1).count() > 0
+    if several:
+        rows = keyed.join(maybe_broadcast(large), ["i", "key"], "left").withColumn("x", _home(block, 11, "coalesce(n, 1)")[1])
+    else:
+        rows = keyed.withColumn("x", F.lit(0))
     ring = _by_block(_ring(bits, segments))
-    found = stage(_dealt(rows).mapInPandas(ring, "a long, b long").distinct(), "links")
-    large = keyed.where(F.col("n") > block)
-    if large.limit(1).count():
+    found = stage(_dealt(rows.select("i", "key", "x", F.lit(0).alias("y"), "id", F.col("id").alias("comp"))).mapInPandas(ring, "a long, b long").distinct(), "links")
+    if several:
+        large = keyed.join(maybe_broadcast(large.drop("n")), ["i", "key"])
         rows = _with_components(large.select("i", "key", "id", F.lit(1).alias("weight")), connected_components(found))
         more = _dealt(_open_blocks(rows, block).select("i", "key", "x", "y", "id", "comp")).mapInPandas(ring, "a long, b long")
         found = found.unionByName(stage(more.distinct(), "links"))
@@ -321,9 +331,9 @@ def _likely(rows: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
 
 
 def _exact(rows: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
-    """A forest of the pairs (a, b) of each block whose shingle sets are similar, by counting common shingles of all pairs at once."""
-    sid, out = rows["id"].to_numpy(np.int64), []
-    _, root = np.unique(rows["comp"].to_numpy(np.int64), return_inverse=True)
+    """A star of each component of similar shingle sets in a block, by counting the common shingles of all its pairs at once."""
+    _, comp = np.unique(rows["comp"].to_numpy(np.int64), return_inverse=True)
+    root = comp.copy()
     for lo, hi in zip(cuts.tolist(), cuts[1:].tolist()):
         sets = [np.frombuffer(g, np.uint64) for g in rows["grams"].iloc[lo:hi]]
         size, m = np.array([len(g) for g in sets]), hi - lo
@@ -343,8 +353,9 @@ def _exact(rows: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
         for r in range(m - 1):
             n = common[r, r + 1 :].astype(np.float64)
             hit = np.flatnonzero((n / np.maximum(1, size[r] + size[r + 1 :] - n) >= COPY_SIMILARITY) & (root[lo + r] != root[lo + r + 1 : hi])) + r + 1 + lo
-            out += _forest(np.full(len(hit), lo + r), hit, root, lo, hi)
-    return pd.DataFrame([(int(sid[x]), int(sid[y])) for x, y in out], columns=["a", "b"], dtype="int64")
+            for y in hit.tolist():
+                _join(root, lo, hi, lo + r, y)
+    return _star(rows["id"].to_numpy(np.int64), comp, root, cuts)
 
 
 def near_copies(docs: DataFrame, block: int | None = None) -> DataFrame:
@@ -357,7 +368,7 @@ def near_copies(docs: DataFrame, block: int | None = None) -> DataFrame:
     alone join nothing. Near copies agree in some of the ``SAMPLES`` samples: at similarity 0.8 all differ with a chance
     below one in ten thousand. In the first round every member of a bucket is compared with its likeliest partner there.
     Members with further likely partners go to the second, where all of a bucket's that are not yet of one component are
-    compared inside tasks, in blocks of bounded size that return a forest. So no pair of a bucket is left out, and rows
+    compared inside tasks, in blocks of bounded size that return stars. So no pair of a bucket is left out, and rows
     follow the members, not the pairs.
     """
     block = block or BLOCK
@@ -366,9 +377,9 @@ def near_copies(docs: DataFrame, block: int | None = None) -> DataFrame:
     row = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id"), F.col("th"))
     groups = stage(marks.groupBy(F.col("sid").alias("id")).agg(F.min(row).alias("low"), F.min("sketch").alias("sketch")), "groups")
     fps = marks.select("fp", F.col("sid").alias("id")).distinct()
-    near = connected_components(links(fps.select("fp").distinct()))
-    ring = fps.join(near, fps.fp == near.node, "left").select("id", F.lit(-1).alias("i"), F.coalesce("component", "fp").alias("key"))
-    keyed = marks.select(F.col("sid").alias("id"), F.posexplode("samples").alias("i", "key")).unionByName(ring).distinct()
+    near = links(fps.select("fp").distinct())
+    ends = near.select(F.col("a").alias("key"), F.explode(F.array("a", "b")).alias("fp")).unionByName(fps.select(F.col("fp").alias("key"), "fp")).distinct()
+    keyed = marks.select(F.col("sid").alias("id"), F.posexplode("samples").alias("i", "key")).unionByName(ends.join(fps, "fp").select("id", F.lit(-1).alias("i"), "key")).distinct()
     sizes = keyed.groupBy("i", "key").agg(F.count("*").alias("n")).where("n > 1")
     keyed = stage(attach(keyed, ["i", "key"], sizes, (SAMPLES + 1) * groups.count()), "buckets")
     first = keyed.join(groups.select("id", "sketch"), "id").withColumns({"x": _home(block, 11)[1], "y": F.lit(0), "many": F.col("n") > block})
