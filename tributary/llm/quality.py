@@ -2,12 +2,16 @@
 
 The text view sees what the words are like (character classes, repetition, word shapes, common words); the
 metadata view sees what a crawler knows of the page (source, language, size, layout of lines). Each view is a
-logistic regression. Both start from the labelled rows; in every round each view labels the unlabelled
-documents it is surest of, equally from both ends in proportion to the classes, and hands them to the *other*
-view. Held-out labelled rows then calibrate each view (Platt scaling) and a combined view over both logits.
+logistic regression. Both start from the labelled rows. In every round both views score all other documents, global
+quantiles of the scores say which ones a view is surest of at either end, a share that grows with the rounds, and
+those are pseudo-labels for the *other* view. It learns from all of them: their gradients are summed over the
+cluster, on top of the labelled rows'. Held-out labelled rows then calibrate each view (Platt scaling) and a
+combined view over both logits.
 
-The labelled rows used are at most ``LABELLED`` per class and the unlabelled pool at most ``POOL`` documents, both
-those that a hash ranks first; whole texts of these are read for features. All documents are scored.
+The labelled rows used are at most ``LABELLED`` per class, those that a hash ranks first, whole texts. Everything else
+covers all documents: their features are computed once, into a table in the shared folder, and read in every round.
+The views share no feature: the page view sees the size and layout of lines, source and language, the text view what
+the words are like.
 
 Defined results: null and empty texts are scored by their (empty) features; null source or language is a
 category of its own; null labels are not learnt from; with no labelled rows, or one class, nothing is
@@ -25,11 +29,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stage, table
 
-LABELLED, POOL, ROUNDS = 2000, 4000, 4
-#: Share of the pool that each view hands over in a round.
+LABELLED, ROUNDS = 2000, 4
+#: Share of all documents that each view hands over in the first round; in round r it is r times that.
 GROWTH = 0.05
+#: Weight of all pseudo-labels of a class against the labelled rows of one, passes over them in a round, and the least logit.
+PSEUDO, PASSES, SURE = 0.25, 2, 1.0
 #: A document is rejected below this calibrated probability of good quality.
 REJECT = 0.5
 _HASHED = 256  # dimensions of hashed word beginnings and, in the other view, of sources and languages
@@ -146,10 +152,64 @@ class CoTrained:
         return 1 / (1 + np.exp(-np.clip(np.c_[one[0], one[1], both], -30, 30)))
 
 
-def co_train(lt, lp, y, ut, up, rounds: int = ROUNDS, growth: float = GROWTH, share: float | None = None) -> CoTrained:
-    """Co-training from labelled (lt, lp, y) and unlabelled (ut, up) features; a fifth of the labels calibrates.
+def _features(rows: DataFrame) -> DataFrame:
+    """(doc_id, y, h, t, p): both views' features of ``rows`` as packed half floats."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts = [t or "" for t in b["text"]]
+            yield pd.DataFrame({
+                "doc_id": b["doc_id"].astype("Int64"), "y": b["y"].astype("Int32"), "h": b["h"].astype("Int64"), "t": [text_view(t).astype(np.float16).tobytes() for t in texts],
+                "p": [page_view(t, s, g).astype(np.float16).tobytes() for t, s, g in zip(texts, b["source"], b["lang"])],
+            })
+
+    return rows.select("doc_id", "y", "h", "text", "source", "lang").mapInPandas(run, "doc_id long, y int, h long, t binary, p binary")
+
+
+def _matrix(packed) -> np.ndarray:
+    return np.frombuffer(b"".join(packed), np.float16).reshape(len(packed), -1).astype(float)
+
 
-    ``share`` is that of good documents among all labels; calibration weighs the sample's classes to it.
+def _logits(views: list[View]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"a": views[0].logit(_matrix(b["t"])), "b": views[1].logit(_matrix(b["p"]))})
+
+    return run
+
+
+def _pull(views: list[View], judges: list[View], cuts: list[tuple[float, float]]):
+    """Gradients of the rows that the other view's logit puts beyond its cuts: (place, v) rows, summed per task.
+
+    For each view and class, the sum of (label - probability) times the features, and the number of rows.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for b in batches:
+            if not len(b):
+                continue
+            x = [_matrix(b["t"]), _matrix(b["p"])]
+            sure, parts = [judges[k].logit(x[k]) for k in range(2)], []
+            for k in range(2):
+                low, high = cuts[1 - k]
+                for y, rows in ((0, sure[1 - k] <= low), (1, sure[1 - k] >= high)):
+                    z = np.c_[(x[k][rows] - views[k].mean) / views[k].scale, np.ones(int(rows.sum()))]
+                    parts += [z.T @ (y - 1 / (1 + np.exp(-np.clip(z @ views[k].weights, -30, 30)))), [len(z)]]
+            part = np.concatenate(parts)
+            total = part if total is None else total + part
+        if total is not None:
+            yield pd.DataFrame({"place": np.arange(len(total), dtype=np.int32), "v": total})
+
+    return run
+
+
+def co_train(lt, lp, y, rest: DataFrame, rounds: int = ROUNDS, growth: float = GROWTH, share: float | None = None) -> CoTrained:
+    """Co-training from labelled features (lt, lp, y) and the features ``rest`` (t, p) of all other documents.
+
+    A fifth of the labels calibrates; ``share`` is that of good documents among all labels, to which calibration
+    weighs the sample's classes. Per pass, some thousand sums reach the driver, whatever the number of documents.
     """
     if not len(y) or y.min() == y.max():
         return CoTrained()
@@ -159,34 +219,35 @@ def co_train(lt, lp, y, ut, up, rounds: int = ROUNDS, growth: float = GROWTH, sh
         seen = held
     else:
         seen = ~held
-    base = y[seen].mean()
-    given = [(np.zeros(0, int), np.zeros(0)) for _ in range(2)]  # what each view has been handed
-    own, pool = (lt, lp), (ut, up)
-    handed = []
-
-    def refit(k: int) -> View:
-        i, v = given[k]
-        x = np.concatenate([own[k][seen], pool[k][i]]) if len(i) else own[k][seen]
-        return fit(x, np.r_[y[seen], v], np.r_[np.ones(seen.sum()), np.full(len(i), 0.5)])
-
-    views = [refit(0), refit(1)]
-    for _ in range(rounds if len(ut) else 0):
-        new = []
-        for k in range(2):
-            taken = np.zeros(len(ut), bool)
-            taken[given[1 - k][0]] = True
-            s = views[k].logit(pool[k])
-            free = np.flatnonzero(~taken)
-            order = free[np.argsort(s[free], kind="stable")]
-            low, high = round(growth * len(ut) * (1 - base)), round(growth * len(ut) * base)
-            bad, good = order[:low], order[::-1][:high]
-            bad, good = bad[s[bad] < -1], good[s[good] > 1]
-            new.append((np.r_[bad, good], np.r_[np.zeros(len(bad)), np.ones(len(good))]))
-        for k in range(2):
-            i, v = new[1 - k]
-            given[k] = (np.r_[given[k][0], i].astype(int), np.r_[given[k][1], v])
-        handed.append(sum(len(i) for i, _ in new))
-        views = [refit(0), refit(1)]
+    base, own, ys = y[seen].mean(), (lt, lp), y[seen]
+    each = np.where(ys > 0, 0.5 / base, 0.5 / (1 - base))  # classes weigh alike
+    views, handed = [fit(x[seen], ys, np.ones(len(ys))) for x in own], []
+    for r in range(1, rounds + 1):
+        judges, n_all = views, 0
+        ends = [growth * r * (1 - base), 1 - growth * r * base]
+        q = rest.select("t", "p").mapInPandas(_logits(judges), "a double, b double").agg(*[F.percentile_approx(c, ends, 10_000).alias(c) for c in "ab"]).first()
+        if q["a"] is None:
+            break
+        cuts = [(min(q[c][0], -SURE), max(q[c][1], SURE)) for c in "ab"]
+        for _ in range(PASSES):
+            sums = rest.select("t", "p").mapInPandas(_pull(views, judges, cuts), "place int, v double").groupBy("place").agg(F.sum("v").alias("v")).orderBy("place").collect()
+            flat, at, new, n_all = np.array([row["v"] for row in sums]), 0, [], 0
+            for k, v in enumerate(views):
+                z = np.c_[(own[k][seen] - v.mean) / v.scale, np.ones(len(ys))]
+                p = 1 / (1 + np.exp(-np.clip(z @ v.weights, -30, 30)))
+                ridge = np.full(z.shape[1], 2.0)
+                ridge[-1] = 1e-3
+                g, heavy, d = z.T @ (each * (ys - p)), 1.0, z.shape[1]
+                for _class in range(2):
+                    pull, n = flat[at : at + d], flat[at + d]
+                    at, n_all = at + d + 1, n_all + int(n)
+                    if n:
+                        weight = min(PSEUDO * len(ys) / 2, n)  # a document weighs no more than a label
+                        g, heavy = g + pull * weight / n, heavy + weight / len(ys)
+                step = np.linalg.solve((z * (each * p * (1 - p))[:, None]).T @ z * heavy + np.diag(ridge), g - ridge * v.weights)
+                new.append(View(v.mean, v.scale, v.weights + step * min(1.0, 1 / (np.abs(step).max() + 1e-9))))
+            views = new
+        handed.append(n_all)
     share = y.mean() if share is None else share
     w = np.where(y[held] > 0, share / y[held].mean(), (1 - share) / (1 - y[held].mean()))
     for v, x in zip(views, own):
@@ -196,92 +257,66 @@ def co_train(lt, lp, y, ut, up, rounds: int = ROUNDS, growth: float = GROWTH, sh
     return CoTrained(views[0], views[1], platt(both, y[held], w), tuple(handed))
 
 
-def _features(rows: DataFrame) -> DataFrame:
-    """(y, t, p): label and both views' features as packed floats, which reach the driver as two buffers a row."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = [t or "" for t in b["text"]]
-            yield pd.DataFrame({
-                "y": b["y"].astype("Int32"), "t": [text_view(t).astype(np.float32).tobytes() for t in texts],
-                "p": [page_view(t, s, g).astype(np.float32).tobytes() for t, s, g in zip(texts, b["source"], b["lang"])],
-            })
-
-    return rows.mapInPandas(run, "y int, t binary, p binary")
-
-
-def _matrix(packed) -> np.ndarray:
-    return np.frombuffer(b"".join(packed), np.float32).reshape(len(packed), -1).astype(float)
-
-
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> CoTrained:
-    """Fit on bounded samples; only their features reach the driver."""
+def features(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> tuple[DataFrame, float | None]:
+    """The table (doc_id, y, h, t, p) of all documents, ``y`` given for the labelled sample only, and the share of good labels."""
     y = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
     d = docs.select("doc_id", "text", "source", "lang")
-    share = y.agg(F.avg("y")).first()[0]
-    ids = d.select("doc_id").distinct().join(y, "doc_id", "left").withColumn("h", F.xxhash64(F.lit(7), "doc_id"))
-    picked = None
-    for cond, most in (("y = 0", labelled), ("y = 1", labelled), ("y IS NULL AND doc_id IS NOT NULL", pool)):
-        part = ids.where(cond).orderBy("h", "doc_id").limit(most)
-        picked = part if picked is None else picked.unionByName(part)
-    rows = d.join(F.broadcast(picked.select("doc_id", "y", "h")), "doc_id").dropDuplicates(["doc_id"])
-    got = _features(rows.select("y", "text", "source", "lang", "h").orderBy("h").drop("h")).toPandas()
+    known = y.join(d.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("h", F.xxhash64(F.lit(7), "doc_id"))
+    parts = [known.where(F.col("y") == k).orderBy("h", "doc_id").limit(labelled) for k in (0, 1)]
+    rows = d.join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id", "left")  # at most 2 x labelled rows
+    return stage(_features(rows), "features"), y.agg(F.avg("y")).first()[0]
+
+
+def fit_views(feats: DataFrame, share: float | None) -> CoTrained:
+    got = feats.where("y IS NOT NULL").dropDuplicates(["doc_id"]).orderBy("h", "doc_id").select("y", "t", "p").toPandas()
     if not len(got):
         return CoTrained()
-    t, p = _matrix(got["t"]), _matrix(got["p"])
-    known = got["y"].notna().to_numpy()
-    return co_train(t[known], p[known], got.loc[known, "y"].to_numpy(float), t[~known], p[~known], share=share)
+    return co_train(_matrix(got["t"]), _matrix(got["p"]), got["y"].to_numpy(float), feats.where("y IS NULL"), share=share)
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> CoTrained:
+    return fit_views(*features(docs, labels, labelled))
 
 
-def score(docs: DataFrame, model: CoTrained, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, text_score, page_score, score) and the columns of ``keep`` for every document, in one pass without shuffle."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # some hundred weights
-    names = ["text", "source", "lang"]
-    extra = [c for c in keep if c not in ("doc_id", *names)]
-    rows = docs.select("doc_id", *names, *extra)
-    shown = [c for c in dict.fromkeys(("doc_id", *keep)) if c in rows.columns]
-    fields = ", ".join(f"`{c}` {dict(rows.dtypes)[c]}" for c in shown)
+def score_features(feats: DataFrame, model: CoTrained) -> DataFrame:
+    """(doc_id, text_score, page_score, score) of every row of ``features``."""
+    sent = feats.sparkSession.sparkContext.broadcast(model)  # some hundred weights
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = b[shown].copy()
-            for c in shown:
-                if pd.api.types.is_float_dtype(out[c]) and fields.split(f"`{c}` ")[1].startswith(("bigint", "int")):
-                    out[c] = out[c].astype("Int64")
-            s = []
-            for at in range(0, len(b), 500):
-                c = b.iloc[at : at + 500]
-                texts = [t or "" for t in c["text"]]
-                s.append(sent.value.score(np.stack([text_view(t) for t in texts]), np.stack([page_view(t, x, g) for t, x, g in zip(texts, c["source"], c["lang"])])))
-            s = np.concatenate(s) if s else np.zeros((0, 3))
-            out["text_score"], out["page_score"], out["score"] = s[:, 0], s[:, 1], s[:, 2]
-            yield out
-
-    return rows.mapInPandas(run, f"{fields}, text_score double, page_score double, score double")
+            s = sent.value.score(_matrix(b["t"]), _matrix(b["p"])) if len(b) else np.zeros((0, 3))
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "text_score": s[:, 0], "page_score": s[:, 1], "score": s[:, 2]})
 
+    return feats.select("doc_id", "t", "p").mapInPandas(run, "doc_id long, text_score double, page_score double, score double")
 
-def op7_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    out = score(docs, train(docs, table(spark, sf_dir, "labels")))
-    return out.withColumn("kept", F.col("score") >= REJECT)
+
+def score(docs: DataFrame, model: CoTrained) -> DataFrame:
+    """(doc_id, text_score, page_score, score) for every document, in one pass without shuffle."""
+    none = F.lit(None)
+    return score_features(_features(docs.select("doc_id", "text", "source", "lang", none.cast("int").alias("y"), none.cast("long").alias("h"))), model)
 
 
 def score_column(model: CoTrained, spark: SparkSession):
-    """Function of the columns text, source and lang: the combined score."""
+    """Function of the columns text, source and lang: the combined score, of the features as ``score`` has them."""
     sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def combined(text: pd.Series, source: pd.Series, lang: pd.Series) -> pd.Series:
-        texts = [t or "" for t in text]
-        parts = [
-            sent.value.score(np.stack([text_view(t) for t in texts[at : at + 500]]), np.stack([page_view(*x) for x in zip(texts[at : at + 500], source[at : at + 500], lang[at : at + 500])]))[:, 2]
-            for at in range(0, len(texts), 500)
-        ]
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+        out, rows = [np.zeros(0)], [(t or "", s, g) for t, s, g in zip(text, source, lang)]
+        for at in range(0, len(rows), 500):
+            part = rows[at : at + 500]
+            views = np.stack([text_view(t) for t, _, _ in part]), np.stack([page_view(*x) for x in part])
+            out.append(sent.value.score(*(v.astype(np.float16).astype(float) for v in views))[:, 2])
+        return pd.Series(np.concatenate(out))
 
     return combined
 
 
+def op7_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feats, share = features(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return score_features(feats, fit_views(feats, share)).withColumn("kept", F.col("score") >= REJECT)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the combined view does not reject; all columns stay as they are."""
     model = train(docs, table(spark, sf_dir, "labels"))
