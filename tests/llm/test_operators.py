@@ -379,9 +379,9 @@ def brute_cut(docs: dict, k=400) -> dict:
     return out
 
 
-@pytest.mark.parametrize("hot", [200, 1])
-def test_removed_bytes(spark, monkeypatch, hot):
-    monkeypatch.setattr(substrings, "HOT", hot)
+@pytest.mark.parametrize("shard", [512 << 10, 1500])
+def test_removed_bytes(spark, monkeypatch, shard):
+    monkeypatch.setattr(substrings, "SHARD_BYTES", shard)
     passage, other = words(90, 7), words(120, 8)
     docs = {i: words(40, 50 + i) + passage + words(30, 80 + i) for i in range(12)}
     docs |= {20: other, 21: other, 22: other[:399], 23: other[5:430] + "é" + passage[:401], 24: "ab" * 900, 25: "", 26: None, 27: "é" * 300, 28: words(200, 9) + "\n" + other[100:560] * 2}
@@ -390,6 +390,23 @@ def test_removed_bytes(spark, monkeypatch, hot):
     assert got == brute_cut(docs)
 
 
+def test_contexts_of_a_common_anchor_are_dealt_again(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "SHARD_BYTES", 4000)
+    common, longer = words(60, 11)[:300], words(90, 12)[:430]
+    docs = {i: words(60, 400 + i) + common + words(60, 500 + i) for i in range(30)}
+    docs |= {100 + i: words(60, 600 + i) + longer + words(60, 700 + i) for i in range(30)}
+    docs |= {200 + i: words(10, 800) + str(i % 3) + longer + words(10, 900) for i in range(6)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(df).collect()}
+    assert got == brute_cut(docs)
+
+
+def test_run_length_query(spark):
+    want = brute_cut(texts_cache(spark))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in QUERIES["op8_run_length_index"](spark, SF_DIR).collect()}
+    assert got == want
+
+
 # 10
 
 def test_water_filling_equals_redistribution(spark):

@@ -12,8 +12,13 @@ Every byte covered by a ``length``-byte string that also starts somewhere else i
    all positions are streamed from those samples (between samples they fall by one a byte).
 3. Removal. The marked windows of a document are merged and cut out.
 
-An anchor with more than ``HOT`` different contexts does not fit a shard. Its windows are then counted by hash,
-one row each, so no task holds them all; this is exact too.
+The contexts of one anchor that exceed a shard are dealt by longer anchors: a context's windows reach far to the left
+of the anchor or far to the right, so it falls into two, each with the anchor extended to that side by half of
+what the windows have besides. Equal windows stay together; contexts that became equal are settled by count; the rest
+goes to shards, or is dealt again. After nine such steps an anchor is a whole window, so every shard is bounded. Each step
+gives two rows a context at most, and steps beyond the first see only what still exceeds a shard.
+
+Two contexts count as equal if their anchors' hashes and their own agree, 128 bits in all; in shards bytes are compared.
 
 Defined results: a null text counts as empty; texts shorter than ``length`` lose nothing; repeated rows repeat each
 other; a null doc_id is an id like any other; an empty table gives an empty result; other columns are not read.
@@ -30,11 +35,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import attach, stage, table
 
 LENGTH, GRAM = 400, 128
-#: Bytes of context per index shard, and contexts per anchor beyond which its windows are hashed.
-SHARD_BYTES, HOT = 512 << 10, 200
+#: Bytes of context per index shard.
+SHARD_BYTES = 512 << 10
 #: Bytes hashed at once; longer texts are walked in overlapping pieces.
 PIECE = 1 << 20
 
@@ -96,7 +101,7 @@ def merge(start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[first], np.r_[e[first[1:] - 1], e[-1:]] - s[first]
 
 
-_OCC = "anchor long, ctx long, cnt int, doc_id long, th int, start int, n int"
+_OCC = "anchor long, ctx long, cnt int, doc_id long, th long, start int, n int"
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -220,7 +225,7 @@ def repeated_starts(strings: list[bytes], length: int = LENGTH) -> list[np.ndarr
     return [np.flatnonzero(hit[s : s + len(x)]) for s, x in zip(index.starts, strings)]
 
 
-_MARK = "doc_id long, th int, start int, n int"
+_MARK = "doc_id long, th long, start int, n int"
 
 
 def _search(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -232,38 +237,93 @@ def _search(pdf: pd.DataFrame) -> pd.DataFrame:
             ms, mn = merge(hit, np.ones(len(hit), np.int64))
             out += [(doc, th, s + int(a), int(b)) for a, b in zip(ms, mn)]
     r = pd.DataFrame(out, columns=["doc_id", "th", "start", "n"])
-    return r.astype({"doc_id": "Int64", "th": "int32", "start": "int32", "n": "int32"})
+    return r.astype({"doc_id": "Int64", "th": "int64", "start": "int32", "n": "int32"})
+
+
+_PIECES = "shard int, anchor long, c long, doc_id long, th long, start int, n int, g int, piece binary"
 
 
-_PIECES = "shard int, anchor long, key long, c long, doc_id long, th int, start int, n int, piece binary"
+def _frames(rows: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+    """Frames of ``_PIECES`` rows, of some megabytes each."""
+    cols, held, out = [c.split()[0] for c in _PIECES.split(", ")], 0, []
+    for row in rows:
+        out.append(row)
+        held += len(row[-1])
+        if held > 8 << 20:
+            yield pd.DataFrame(out, columns=cols).astype({"shard": "Int32", "doc_id": "Int64"})
+            held, out = 0, []
+    if out:
+        yield pd.DataFrame(out, columns=cols).astype({"shard": "Int32", "doc_id": "Int64"})
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The bytes of each wanted context; of hot anchors the hash of each window instead."""
-    cols = [c.split()[0] for c in _PIECES.split(", ")]
+    """The bytes of each wanted context."""
 
-    def frame(rows):
-        f = pd.DataFrame(rows, columns=cols)
-        return f.astype({"shard": "Int32", "doc_id": "Int64"})
+    def rows():
+        for b in batches:
+            for doc, th, text, want in zip(b["doc_id"].astype("Int64"), b["th"], b["text"], b["want"]):
+                data = (text or "").encode("utf-8", "replace")
+                for w in want:
+                    s, n = w["start"], w["n"]
+                    yield w["shard"], w["anchor"], w["c"], doc, th, s, n, -1, data[s : s + n + LENGTH - 1]
 
-    for b in batches:
-        rows, held = [], 0
-        for doc, th, text, want in zip(b["doc_id"].astype("Int64"), b["th"], b["text"], b["want"]):
-            data = (text or "").encode("utf-8", "replace")
-            for w in want:
-                s, n, c = w["start"], w["n"], w["c"]
-                if w["shard"] is None:
-                    view = memoryview(data)
-                    rows += [(None, w["anchor"], int(np.uint64(xxhash.xxh64_intdigest(view[i : i + LENGTH])).view(np.int64)), c, doc, th, i, 1, None) for i in range(s, s + n)]
-                    held += 100 * n
-                else:
-                    rows.append((w["shard"], w["anchor"], w["ctx"], c, doc, th, s, n, data[s : s + n + LENGTH - 1]))
-                    held += n + LENGTH
-                if held > 8 << 20:
-                    yield frame(rows)
-                    rows, held = [], 0
-        if rows:
-            yield frame(rows)
+    return _frames(rows())
+
+
+def halves(piece: bytes, n: int, g: int, size: int) -> list[tuple[int, int, int, int]]:
+    """(side, first window, windows, anchor's place) of a context's halves, for an anchor of ``size`` bytes at ``g`` that grows by half the rest.
+
+    Windows that reach at least that far to the left of the anchor are side 0, the others reach as far to the right.
+    """
+    more = (LENGTH - size + 1) // 2
+    left = max(0, min(n, g - more + 1))
+    return [(side, s, k, at) for side, s, k, at in ((0, 0, left, g - more), (1, left, n - left, g - left)) if k]
+
+
+def _split(size: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def rows():
+            for b in batches:
+                for c, doc, th, start, n, g, piece in zip(b["c"], b["doc_id"].astype("Int64"), b["th"], b["start"], b["n"], b["g"], b["piece"]):
+                    if g < 0:
+                        g = int(window_anchors(np.frombuffer(piece, np.uint8)[:LENGTH], LENGTH, size)[0][0])
+                    grown = size + (LENGTH - size + 1) // 2
+                    for side, s, k, at in halves(piece, n, g, size):
+                        part = piece[s : s + k + LENGTH - 1]
+                        yield None, int(np.uint64(xxhash.xxh64_intdigest(part[at : at + grown], side)).view(np.int64)), c, doc, th, start + s, k, at, part
+
+        return _frames(rows())
+
+    return run
+
+
+def _sharded(k: str = "bytes"):
+    """Column: whether an anchor's contexts fit a shard."""
+    return F.col(k) <= SHARD_BYTES
+
+
+def _dealt_again(hot: DataFrame) -> tuple[DataFrame | None, list[DataFrame]]:
+    """Contexts that exceed their anchors' shards to (sharded contexts, marks of those that became equal)."""
+    size, done, found, level = GRAM, None, [], 0
+    while hot.limit(1).count():
+        level, grown = level + 1, size + (LENGTH - size + 1) // 2
+        sub = stage(hot.mapInPandas(_split(size), _PIECES).withColumn("ctx", F.xxhash64("piece")), "halves")
+        kinds = sub.groupBy("anchor", "ctx").agg(F.sum("c").alias("c"), F.count("*").alias("rows"), F.min(F.struct("doc_id", "th", "start", "n", "g", "piece")).alias("rep"))
+        kinds = stage(kinds, "kinds")
+        twice = kinds.where("rows > 1").select("anchor", "ctx", F.col("rows").alias("m"))
+        both = int(twice.agg(F.sum("m")).first()[0] or 0)
+        found.append(attach(sub.where("c = 1"), ["anchor", "ctx"], twice, both, "m").select("doc_id", "th", "start", "n"))
+        several = kinds.groupBy("anchor").agg(F.count("*").alias("k"), F.sum(F.col("rep.n") + LENGTH).alias("bytes")).where("k > 1")
+        several = stage(several, "several")
+        row = several.agg(F.sum(F.when(_sharded(), F.col("bytes"))), F.sum("k")).first()
+        shards = int((row[0] or 0) // SHARD_BYTES) + 1
+        shard = F.when(_sharded(), -1 - F.pmod(F.xxhash64("anchor"), F.lit(shards)) * 16 - level).cast("int")
+        need = attach(kinds, ["anchor"], several, int(row[1] or 0), "k").select(shard.alias("shard"), "anchor", "c", "rep.*")
+        need = stage(need, "pieces")
+        part = need.where("shard IS NOT NULL")
+        done = part if done is None else done.unionByName(part)
+        hot, size = need.where("shard IS NULL"), grown
+    return done, found
 
 
 def marks(docs: DataFrame) -> DataFrame:
@@ -273,20 +333,22 @@ def marks(docs: DataFrame) -> DataFrame:
     occ = occ.where("anchor IS NOT NULL")
     kinds = occ.groupBy("anchor", "ctx").agg(F.sum("cnt").alias("c"), F.count("*").alias("rows"), F.min(F.struct("doc_id", "th", "start", "n")).alias("rep"))
     whole = occ.join(kinds.where("rows > 1").select("anchor", "ctx"), ["anchor", "ctx"], "left_semi").select("doc_id", "th", "start", "n")
-    several = kinds.groupBy("anchor").agg(F.count("*").alias("k"), F.sum(F.col("rep.n") + LENGTH).alias("bytes")).where("k > 1")
-    total = several.where(F.col("k") <= HOT).agg(F.sum("bytes")).first()[0] or 0
-    shards = int(total // SHARD_BYTES) + 1
-    need = kinds.join(several.select("anchor", "k"), "anchor")
-    shard = F.when(F.col("k") <= HOT, F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int"))
-    need = need.select("rep.doc_id", "rep.th", F.struct("anchor", "ctx", "c", shard.alias("shard"), "rep.start", "rep.n").alias("w"))
+    several = stage(kinds.groupBy("anchor").agg(F.count("*").alias("k"), F.sum(F.col("rep.n") + LENGTH).alias("bytes")).where("k > 1"), "several")
+    row = several.agg(F.sum(F.when(_sharded(), F.col("bytes"))), F.sum("k")).first()
+    shards = int((row[0] or 0) // SHARD_BYTES) + 1
+    need = attach(kinds, ["anchor"], several, int(row[1] or 0), "k")
+    shard = F.when(_sharded(), F.pmod(F.xxhash64("anchor"), F.lit(shards))).cast("int")
+    need = need.select("rep.doc_id", "rep.th", F.struct("anchor", "c", shard.alias("shard"), "rep.start", "rep.n").alias("w"))
     want = need.groupBy("doc_id", "th").agg(F.collect_list("w").alias("want")).withColumnsRenamed({"doc_id": "d2", "th": "t2"})
     asked = docs.join(want, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2"))).select("doc_id", "th", "text", "want")
-    pieces = stage(asked.mapInPandas(_extract, _PIECES), "pieces").dropDuplicates(["anchor", "key", "doc_id", "th", "start"])
-    indexed = pieces.where("shard IS NOT NULL").groupBy("shard").applyInPandas(_search, _MARK)
-    hot = pieces.where("shard IS NULL").select("anchor", "key", "c", "doc_id", "th", "start", "n")
-    twice = hot.groupBy("anchor", "key").agg(F.sum("c").alias("c")).where("c > 1").select("anchor", "key")
-    windows = hot.join(twice, ["anchor", "key"], "left_semi").select("doc_id", "th", "start", "n")
-    return local.unionByName(whole).unionByName(indexed).unionByName(windows)
+    pieces = stage(asked.mapInPandas(_extract, _PIECES), "pieces")  # of repeated rows, each has the contexts; they count several times already
+    again, found = _dealt_again(pieces.where("shard IS NULL"))
+    pieces = pieces.where("shard IS NOT NULL")
+    pieces = pieces if again is None else pieces.unionByName(again.select(*pieces.columns))
+    out = local.unionByName(whole).unionByName(pieces.groupBy("shard").applyInPandas(_search, _MARK))
+    for f in found:
+        out = out.unionByName(f)
+    return out
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -310,7 +372,7 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Every document with what is left of it: (doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept)."""
-    rows = docs.select("doc_id", F.hash("text").alias("th"), "text")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     m = marks(rows).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "n")).alias("marks")).withColumnsRenamed({"doc_id": "d2", "th": "t2"})
     both = rows.join(m, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")), "left").select("doc_id", "text", "marks")
     return both.mapInPandas(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
