@@ -47,20 +47,17 @@ def shingle_hashes(text: str | None, k: int = SHINGLE) -> list[int]:
 
 def fingerprints(texts, k: int = SHINGLE) -> np.ndarray:
     """SimHash of each text as uint64: a bit is set if it is set in over half the shingle hashes."""
-    return _simhashes([shingle_hashes(t, k) for t in texts])
+    return np.array([_simhash(shingle_hashes(t, k)) for t in texts], np.uint64)
 
 
-def _simhashes(hashes: list[list[int]]) -> np.ndarray:
-    out = np.zeros(len(hashes), np.uint64)
-    for i, h in enumerate(hashes):
-        if not h:
-            continue
-        ones = np.zeros(64, np.int64)
-        values = np.array(h, ">u8")
-        for at in range(0, len(h), _CHUNK):
-            ones += np.unpackbits(values[at : at + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out[i] = int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
-    return out
+def _simhash(hashes: list[int]) -> int:
+    if not hashes:
+        return 0
+    ones = np.zeros(64, np.int64)
+    values = np.array(hashes, ">u8")
+    for at in range(0, len(values), _CHUNK):
+        ones += np.unpackbits(values[at : at + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(values)).tobytes(), "big")
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -275,11 +272,15 @@ def set_id(hashes: list[int]) -> int:
 
 
 def _scan_copies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def row(text) -> tuple:
+        x = shingle_hashes(text, COPY_SHINGLE)  # of one text at a time
+        return _simhash(x), set_id(x), sample_fingerprints(x), sketch(x)
+
     for b in batches:
-        hashes = [shingle_hashes(t, COPY_SHINGLE) for t in b["text"].tolist()]
+        fp, sid, samples, sketches = zip(*[row(t) for t in b["text"]]) if len(b) else ((),) * 4
         yield pd.DataFrame({
-            "doc_id": b["doc_id"].astype("Int64"), "th": b["th"], "fp": _simhashes(hashes).view(np.int64), "sid": np.array([set_id(x) for x in hashes], np.int64),
-            "samples": [sample_fingerprints(x) for x in hashes], "sketch": [sketch(x) for x in hashes],
+            "doc_id": b["doc_id"].astype("Int64"), "th": b["th"], "fp": np.array(fp, np.uint64).view(np.int64), "sid": np.array(sid, np.int64),
+            "samples": list(samples), "sketch": list(sketches),
         })
 
 

@@ -8,8 +8,8 @@ give each token's probability. A document's score is a calibrated logistic of it
 over one half are its offending offsets.
 
 Both are fitted on bounded samples of the labelled rows: features are counted over at most ``FIT`` documents per
-class, the chain and its calibration use at most ``SAMPLE`` of these (those that a hash ranks first), whole
-texts. So no text is shuffled: the sample's ids are broadcast. Scoring reads all documents and whole texts.
+class, the chain and its calibration use at most ``SAMPLE`` of these (those that a hash ranks first) and of
+``SAMPLE_BYTES``, whole texts. So no text is shuffled: the sample's ids are broadcast. Scoring reads all documents and whole texts.
 
 Defined results: null and empty texts score the calibrated score of no evidence; repeated rows score alike;
 null labels are not learnt from; with no labelled rows, or one class only, every score is the base rate; an
@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -33,6 +33,8 @@ from .common import table
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled documents per class that features are counted over, and those of them that the chain is fitted on.
 FIT, SAMPLE = 4000, 800
+#: Bytes per class of the texts that the chain is fitted on; the sample ends with the text that reaches them.
+SAMPLE_BYTES = 8 << 20
 #: Features kept in the model, and the evidence they need.
 VOCABULARY, MIN_DOCS, MIN_LOG_ODDS = 20_000, 8, 2.5
 
@@ -198,7 +200,9 @@ def train(docs: DataFrame, labels: DataFrame, fit: int = FIT, sample: int = SAMP
     vocabulary = {r["f"]: r["odds"] for r in best.orderBy(F.desc(F.col("odds") * F.log1p("n1")), "f").limit(VOCABULARY).collect()}
     index: dict[str, int] = {}
     tokens, truth = [], []
-    for r in chosen(sample).orderBy("doc_id").collect():
+    upto = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
+    bounded = chosen(sample).withColumn("before", F.coalesce(F.sum(F.octet_length("text")).over(upto), F.lit(0))).where(F.col("before") < SAMPLE_BYTES)
+    for r in bounded.orderBy("doc_id", F.xxhash64("text")).collect():
         tokens.append(np.array([index.setdefault(w, len(index)) for w in WORD.findall(r["text"].lower())], np.int32))
         truth.append(bool(r["toxic"]))
     words = list(index)
@@ -212,6 +216,19 @@ def train(docs: DataFrame, labels: DataFrame, fit: int = FIT, sample: int = SAMP
     return chain
 
 
+def _parts(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
+    """``texts`` in order, in lists of at most ``most`` characters, or one text."""
+    part, held = [], 0
+    for t in texts:
+        if part and held + len(t) > most:
+            yield part
+            part, held = [], 0
+        part.append(t)
+        held += len(t)
+    if part:
+        yield part
+
+
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
     """(doc_id, score, n_toxic, spans) of every document; spans are code-point offsets start:end of tagged runs."""
     sent = docs.sparkSession.sparkContext.broadcast(chain)  # at most VOCABULARY features
@@ -221,8 +238,9 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
         a, b_, c0 = c.calibration
         for batch in batches:
             texts = [t or "" for t in batch["text"]]
-            tokens = [WORD.findall(t.lower()) for t in texts]
-            ps = marginals([emissions(ws, c, memo) for ws in tokens], c.stay)
+            ps = []
+            for part in _parts(texts):
+                ps += marginals([emissions(WORD.findall(t.lower()), c, memo) for t in part], c.stay)
             scores, counts, spans = [], [], []
             for text, p in zip(texts, ps):
                 x, y = _evidence(p)
