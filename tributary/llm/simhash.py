@@ -175,7 +175,7 @@ def _open_blocks(rows: DataFrame, block: int) -> DataFrame:
     pair = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
     major = F.transform(each(gn), lambda j: pair(j, gn + hm))
     other = F.concat(F.transform(each(gn), lambda j: pair(F.least(hn, j), F.greatest(hn, j))), F.transform(each(gm), lambda j: pair(hn, gn + j)))
-    at = F.when(F.col("comp") == F.col("major"), major).otherwise(other)
+    at = F.when(F.col("all") <= block, F.array(pair(F.lit(0), F.lit(0)))).when(F.col("comp") == F.col("major"), major).otherwise(other)
     keep = [c for c in rows.columns if c not in ("major", "all", "most", "n", "kinds", "rest")]
     return rows.select(*keep, F.explode(at).alias("at")).select(*keep, "at.x", "at.y")
 
@@ -232,7 +232,7 @@ COPY_SHINGLE, COPY_SIMILARITY, SAMPLES, SAMPLE_SIZE = 5, 0.8, 16, 3
 #: Least hashes in a sketch of a text's distinct shingles, and how many must agree for the texts to be compared: at similarity
 #: 0.8 fewer do with a chance of one in a million.
 SKETCH, AGREE = 64, 34
-#: Shingles of the texts in one block of the second round; a text counts as a 1,024th at least.
+#: Shingles of the texts in one block of the second round; so many that a block has at most ``BLOCK`` texts.
 BLOCK_SHINGLES = 1 << 20
 _SPREAD = np.random.default_rng(4).integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -289,15 +289,15 @@ def similarity(a: set, b: set) -> float:
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(id, grams, weight): the distinct shingles' hashes of each text, packed."""
+    """(id, grams, weight): 32 bits of the hash of each distinct shingle, packed (two texts of 10,000 shingles agree in 0.02 by chance)."""
     for b in batches:
-        grams = [np.unique(np.array(shingle_hashes(t, COPY_SHINGLE), np.uint64)) for t in b["text"].tolist()]
-        yield pd.DataFrame({"id": b["id"], "grams": [g.tobytes() for g in grams], "weight": np.array([max(BLOCK_SHINGLES // 1024, len(g)) for g in grams], np.int64)})
+        grams = [np.unique((np.array(shingle_hashes(t, COPY_SHINGLE), np.uint64) >> np.uint64(32)).astype(np.uint32)) for t in b["text"]]
+        yield pd.DataFrame({"id": b["id"], "grams": [g.tobytes() for g in grams], "weight": np.array([max(BLOCK_SHINGLES // BLOCK, len(g)) for g in grams], np.int64)})
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        a, b = ([np.frombuffer(g, np.uint64) for g in batch[c]] for c in ("ga", "gb"))
+        a, b = ([np.frombuffer(g, np.uint32) for g in batch[c]] for c in ("ga", "gb"))
         both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b)]
         ok = [n / max(1, len(x) + len(y) - n) >= COPY_SIMILARITY for n, x, y in zip(both, a, b)]
         yield batch.loc[ok, ["a", "b"]]
@@ -336,7 +336,7 @@ def _exact(rows: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
     _, comp = np.unique(rows["comp"].to_numpy(np.int64), return_inverse=True)
     root = comp.copy()
     for lo, hi in zip(cuts.tolist(), cuts[1:].tolist()):
-        sets = [np.frombuffer(g, np.uint64) for g in rows["grams"].iloc[lo:hi]]
+        sets = [np.frombuffer(g, np.uint32) for g in rows["grams"].iloc[lo:hi]]
         size, m = np.array([len(g) for g in sets]), hi - lo
         if m < 2 or (root[lo:hi] == root[lo]).all():
             continue
