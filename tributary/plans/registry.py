@@ -220,6 +220,73 @@ for _name, _most in _MOST.items():
     query(_INV, f"part_{_name.replace('-', '_')}_invariants")(_strategy(_name, _most))
 
 
+def _choice(name: str) -> str:
+    """SQL for the task that a strategy picks, from lists ``c`` (candidates), ``counts``, ``seen`` (codes per task) and the tuple's ``code``."""
+    choices, affinity, by, _ = partitioners.STRATEGIES[name]
+    spread = lambda v: f"(list_max({v}) - list_min({v}) + 1)"
+    cards = "list_transform(seen, lambda z: len(z))"
+    cost = {
+        "count": lambda t: f"CAST(counts[{t} + 1] AS DOUBLE)", "cardinality": lambda t: f"CAST(len(seen[{t} + 1]) AS DOUBLE)",
+        "load": lambda t: f"(CAST(len(seen[{t} + 1]) AS DOUBLE) / {spread(cards)} + CAST(counts[{t} + 1] AS DOUBLE) / {spread('counts')})",
+    }[by]
+    if choices == 2:
+        free = f"CASE WHEN {cost('c[1]')} < {cost('c[2]')} THEN c[1] ELSE c[2] END"
+    else:  # the first of the least
+        free = f"c[list_position(list_transform(c, lambda t: {cost('t')}), list_min(list_transform(c, lambda t: {cost('t')})))]"
+    known = "list_filter(c, lambda t: list_contains(seen[t + 1], code))[1]"
+    return f"COALESCE({known}, {free})" if affinity else free
+
+
+def _fold_sql(name: str, n: int, per: int | None = None) -> str:
+    """Oracle of ``name`` over ``supplier`` by nation: a recursive fold, anew in every ``per`` suppliers if that is given.
+
+    The candidate tasks of the 25 nations are hash values and given as such; what is decided from them is computed here.
+    """
+    k = partitioners.STRATEGIES[name][0]
+    hashes = {key: [partitioners.folded(partitioners.key_bytes(key), seed) for seed in partitioners.SEEDS[:k]] for key in range(25)}
+    values = ", ".join(f"({key}, {key}::BIGINT, {[x % n for x in h]})" for key, h in hashes.items())
+    scope, zero, none = f"s_suppkey // {per}" if per else "0", f"[{', '.join(['0'] * n)}]::BIGINT[]", f"[{', '.join(['[]::BIGINT[]'] * n)}]"
+    return f"""WITH RECURSIVE cand(k, code, c) AS (VALUES {values}),
+s AS (SELECT row_number() OVER (ORDER BY s_suppkey) AS i, CAST({scope} AS BIGINT) AS w, s_suppkey, s_nationkey, code, c FROM supplier JOIN cand ON k = s_nationkey),
+f AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS w, CAST(NULL AS BIGINT) AS s_suppkey, CAST(NULL AS BIGINT) AS s_nationkey, {zero} AS counts, {none} AS seen, CAST(NULL AS BIGINT) AS task
+  UNION ALL
+  SELECT i, w, s_suppkey, s_nationkey, list_transform(counts, lambda x, j: x + CASE WHEN j - 1 = t THEN 1 ELSE 0 END),
+         list_transform(seen, lambda x, j: CASE WHEN j - 1 = t AND NOT list_contains(x, code) THEN list_append(x, code) ELSE x END), t
+  FROM (SELECT *, CAST({_choice(name)} AS BIGINT) AS t
+        FROM (SELECT s.i, s.w, s.s_suppkey, s.s_nationkey, s.code, s.c, CASE WHEN s.w = f.w THEN f.counts ELSE {zero} END AS counts, CASE WHEN s.w = f.w THEN f.seen ELSE {none} END AS seen
+              FROM f JOIN s ON s.i = f.i + 1)))
+SELECT w AS window_id, CAST(s_suppkey AS BIGINT) AS s_suppkey, CAST(s_nationkey AS BIGINT) AS s_nationkey, CAST(task AS INTEGER) AS task FROM f WHERE i > 0"""
+
+
+def _folded(name: str, n: int, per: int | None = None):
+    def run(spark, d):
+        window = F.floor(F.col("s_suppkey") / F.lit(per)) if per else F.lit(0)
+        s = parquet(spark, d, "supplier").select(window.cast("long").alias("window_id"), F.col("s_suppkey").cast("long").alias("s_suppkey"), F.col("s_nationkey").cast("long").alias("s_nationkey"))
+        return partitioners.assign(s, name, n, "s_nationkey", "s_suppkey", ("window_id",))
+
+    return run
+
+
+#: Strategies with exact counts: every tuple's task, over the whole stream and anew in every window.
+for _name in ("pk", "m-pk", "cn", "ln", "an", "can", "m-an", "m-can"):
+    query(_fold_sql(_name, 6), f"part_{_name.replace('-', '_')}_tasks")(_folded(_name, 6))
+    query(_fold_sql(_name, 6, 20), f"window_{_name.replace('-', '_')}_tasks")(_folded(_name, 6, 20))
+
+
+@query(f"SELECT window_id, CAST(max(n) - avg(n) AS DOUBLE) AS imbalance, max(n) AS most FROM (SELECT window_id, t.task, count(f.task) AS n FROM (SELECT DISTINCT window_id, unnest(range(6)) AS task FROM ({_fold_sql('cn', 6, 20)})) t LEFT JOIN ({_fold_sql('cn', 6, 20)}) f USING (window_id, task) GROUP BY 1, 2) GROUP BY 1")
+def window_strategy_imbalance(spark, d):
+    """Tuple imbalance of a strategy in every window: the largest task's tuples over the mean of all six."""
+    per = _folded("cn", 6, 20)(spark, d).groupBy("window_id", "task").agg(F.count("*").alias("n"))
+    return per.groupBy("window_id").agg((F.max("n") - F.sum("n") / F.lit(6)).alias("imbalance"), F.max("n").alias("most"))
+
+
+@query(f"WITH t AS ({_fold_sql('an', 6)}) SELECT s_suppkey, s_nationkey, task FROM t")
+def part_first_sight_tasks(spark, d):
+    s = parquet(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("s_suppkey"), F.col("s_nationkey").cast("long").alias("s_nationkey"))
+    return partitioners.first_sight(s, "an", 6, "s_nationkey", "s_suppkey").select("s_suppkey", "s_nationkey", "task")
+
+
 @query("SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1")
 def part_two_phase_agg(spark, d):
     """Partial sums per task of a key-splitting strategy, then the merge: equal to the plain aggregate."""
