@@ -203,6 +203,21 @@ def test_fingerprint_links_are_exactly_those_within_two_bits(spark, block):
     assert len({w for w, _ in groups}) == len({c for _, c in groups}) == len(groups)
 
 
+@pytest.mark.parametrize("block", [1 << 20, 40])
+def test_components_of_chains_stars_and_random_links(spark, monkeypatch, block):
+    from tributary.llm import components
+
+    monkeypatch.setattr(components, "EDGES", block)
+    rng = np.random.default_rng(12)
+    edges = [(i, i + 1) for i in range(60)] + [(1000, 1001 + i) for i in range(70)] + [tuple(int(x) for x in rng.integers(2000, 2100, 2)) for _ in range(60)] + [(5, 5), (None, 7)]
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()}
+    nodes = sorted({x for e in edges if None not in e and e[0] != e[1] for x in e})
+    links = {frozenset(e) for e in edges}
+    want = reach(len(nodes), lambda i, j: frozenset((nodes[i], nodes[j])) in links)
+    assert got == {x: nodes[want[i]] for i, x in enumerate(nodes)}
+    assert not components.connected_components(spark.createDataFrame([], "a long, b long")).count()
+
+
 def test_simhash_query(spark):
     t = texts_cache(spark)
 
