@@ -320,6 +320,33 @@ def test_blocks_of_a_crowded_leaf_lose_nothing(spark, monkeypatch):
     assert all(r.n_links == 99 and r.component_id == 0 for r in got)
 
 
+def test_crowded_clusters_below_the_fitted_trees(spark, monkeypatch):
+    """Splits beyond the sample, with clusters narrower than the spill: rows of leaves stay few, and links whole."""
+    monkeypatch.setattr(embeddings, "LEAF", 32)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3200, 32))
+    for c in range(2):  # two crowded clusters of 400
+        x[400 * c : 400 * c + 400] = x[400 * c] + rng.normal(size=(400, 32)) * 0.05
+    x = x.astype(np.float32).astype(float)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r for r in embeddings.near_duplicates(df, sample=800).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.98
+    np.fill_diagonal(near, False)
+    assert near.sum() > 100_000 and sum(r.n_links for r in got.values()) >= 0.97 * near.sum()
+    assert all(got[i].n_links <= near[i].sum() for i in range(len(x)))
+    classes = df.selectExpr("vec_id AS node", "1L AS m", "'1' AS label", "embedding AS vector")
+    assert embeddings._leaves(classes, len(x), 6, 800, "array<float>").count() < 16 * len(x)
+
+
+def test_double_vectors_are_not_rounded(spark):
+    """Components beyond the range of single precision still compare."""
+    rows = [(1, [1e200, 2e200, 0.0], 1), (2, [2e200, 4e200, 1e190], 1), (3, [-1e200, 2e200, 0.0], 1)]
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: 1, 2: 1, 3: 0}
+
+
 # 6
 
 def test_shards(spark):

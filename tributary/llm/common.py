@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +72,30 @@ def attach(rows: DataFrame, on: list[str], values: DataFrame, total: int, count:
     return rows.join(F.broadcast(hot), on).unionByName(cold)
 
 
+def by_block(compare, *keys: str):
+    """``mapInPandas`` function that gives whole blocks, rows equal in ``keys`` (integers), to ``compare(rows, cuts)``.
+
+    The rows of a partition come sorted by the keys; block n is rows cuts[n] to cuts[n + 1].
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: list[pd.DataFrame] = []  # the block that the last batch ended in
+        for b in batches:
+            if not len(b):
+                continue
+            rows = pd.concat([*kept, b], ignore_index=True)
+            k = rows[list(keys)].to_numpy(np.int64)
+            cuts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+            kept = [rows]
+            if len(cuts):
+                yield compare(rows.iloc[: cuts[-1]], np.r_[0, cuts])
+                kept = [rows.iloc[cuts[-1] :].reset_index(drop=True)]
+        if kept:
+            yield compare(kept[0], np.array([0, len(kept[0])]))
+
+    return run
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that ``df`` does not have."""
     used, out = {c.lower() for c in df.columns}, []

@@ -26,10 +26,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, fresh, maybe_broadcast, stage, table
+from .common import attach, by_block, fresh, maybe_broadcast, stage, table
 from .components import connected_components
 
 SHINGLE, SEED, BITS, SEGMENTS = 3, 42, 2, 5
+#: A bucket (key of chain or sample i) and the two blocks of it that are compared.
+PAIR = ("i", "key", "x", "y")
 #: Members of a bucket that are compared in one block.
 BLOCK = 4096
 _CHUNK = 1 << 15  # shingles whose bits are unpacked at once
@@ -129,29 +131,8 @@ def _ring(bits: int, segments: int):
     return run
 
 
-def _by_block(compare):
-    """``mapInPandas`` function that gives whole blocks, rows equal in (i, key, x, y), to ``compare(rows, cuts)``."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: list[pd.DataFrame] = []  # the block that the last batch ended in
-        for b in batches:
-            if not len(b):
-                continue
-            rows = pd.concat([*kept, b], ignore_index=True)
-            k = rows[["i", "key", "x", "y"]].to_numpy(np.int64)
-            cuts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
-            kept = [rows]
-            if len(cuts):
-                yield compare(rows.iloc[: cuts[-1]], np.r_[0, cuts])
-                kept = [rows.iloc[cuts[-1] :].reset_index(drop=True)]
-        if kept:
-            yield compare(kept[0], np.array([0, len(kept[0])]))
-
-    return run
-
-
 def _dealt(rows: DataFrame) -> DataFrame:
-    return rows.repartition("i", "key", "x", "y").sortWithinPartitions("i", "key", "x", "y")
+    return rows.repartition(*PAIR).sortWithinPartitions(*PAIR)
 
 
 def _home(block: int, salt: int, n: str = "n") -> tuple[Column, Column]:
@@ -198,7 +179,7 @@ def links(fps: DataFrame, bits: int = BITS, segments: int = SEGMENTS, block: int
         rows = keyed.join(maybe_broadcast(large), ["i", "key"], "left").withColumn("x", _home(block, 11, "coalesce(n, 1)")[1])
     else:
         rows = keyed.withColumn("x", F.lit(0))
-    ring = _by_block(_ring(bits, segments))
+    ring = by_block(_ring(bits, segments), *PAIR)
     found = stage(_dealt(rows.select("i", "key", "x", F.lit(0).alias("y"), "id", F.col("id").alias("comp"))).mapInPandas(ring, "a long, b long").distinct(), "links")
     if several:
         large = keyed.join(maybe_broadcast(large.drop("n")), ["i", "key"])
@@ -384,7 +365,7 @@ def near_copies(docs: DataFrame, block: int | None = None) -> DataFrame:
     sizes = keyed.groupBy("i", "key").agg(F.count("*").alias("n")).where("n > 1")
     keyed = stage(attach(keyed, ["i", "key"], sizes, (SAMPLES + 1) * groups.count()), "buckets")
     first = keyed.join(groups.select("id", "sketch"), "id").withColumns({"x": _home(block, 11)[1], "y": F.lit(0), "many": F.col("n") > block})
-    found = stage(_dealt(first.select("i", "key", "x", "y", "id", "many", "sketch")).mapInPandas(_by_block(_likely), "a long, b long").distinct(), "pairs")
+    found = stage(_dealt(first.select("i", "key", "x", "y", "id", "many", "sketch")).mapInPandas(by_block(_likely, *PAIR), "a long, b long").distinct(), "pairs")
 
     def grams(ids: DataFrame, name: str) -> DataFrame:
         """(id, grams, weight) of the groups ``ids``, read from the texts of their least rows."""
@@ -402,7 +383,7 @@ def near_copies(docs: DataFrame, block: int | None = None) -> DataFrame:
         rest = keyed.select("i", "key", "id").join(left, "id").join(sets.select("id", "weight"), "id")
         rest = stage(_open_blocks(_with_components(rest, connected_components(edges)), BLOCK_SHINGLES), "open")
         rest = rest.join(sets.select("id", "grams"), "id").select("i", "key", "x", "y", "id", "comp", "grams")
-        edges = edges.unionByName(stage(_dealt(rest).mapInPandas(_by_block(_exact), "a long, b long").distinct(), "sure"))
+        edges = edges.unionByName(stage(_dealt(rest).mapInPandas(by_block(_exact, *PAIR), "a long, b long").distinct(), "sure"))
     least = _least(groups.select("id", "low"), edges)
     return marks.select("doc_id", "th", "fp", F.col("sid").alias("id")).join(least, "id").select("doc_id", "th", "fp", F.when(~F.col("low.missing"), F.col("low.doc_id")).alias("component_id"), "low")
 
