@@ -180,6 +180,41 @@ def window_anchored_profit(spark, d):
     return taxi.profitable_areas(windows.anchored(taxi_view(spark, d), F.unix_timestamp("dropoff_datetime"), 2700), 10, True, "window_start")
 
 
+def _late(events: DataFrame, time: str) -> DataFrame:
+    """Every 23rd event arrives 100,000 seconds late, every 7th 3,000 seconds: ``t`` is when it happened."""
+    seq = F.col("seq")
+    late = F.when(seq % 23 == 0, 100_000).when(seq % 7 == 0, 3_000).otherwise(0)
+    return events.withColumn("t", F.unix_timestamp(time) - late)
+
+
+def _arrivals_sql(seconds: int, closes: str) -> str:
+    """Anchored windows of ``events`` in order of arrival, one recursive step a window; ``marked`` has window_id and window_start."""
+    return f"""late AS MATERIALIZED (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) - CASE WHEN event_id % 23 = 0 THEN 100000 WHEN event_id % 7 = 0 THEN 3000 ELSE 0 END AS t FROM events),
+w AS (SELECT CAST(0 AS BIGINT) AS window_id, min(event_id) AS first, arg_min(t, event_id) AS s FROM late
+  UNION ALL SELECT window_id, event_id, t FROM (SELECT w.window_id + 1 AS window_id, l.event_id, l.t, row_number() OVER (ORDER BY l.event_id) AS r FROM w JOIN late l ON l.event_id > w.first AND {closes} >= {seconds}) WHERE r = 1),
+marked AS (SELECT l.*, w.window_id, w.s AS window_start FROM late l ASOF JOIN w ON l.event_id >= w.first)"""
+
+
+@query(f"""WITH RECURSIVE {_arrivals_sql(60000, 'abs(l.t - w.s)')} SELECT window_id, event_type AS scheduling_class, CAST(arg_min(ts, event_id) AS VARCHAR) AS timestamp, round(sum(value), 2) AS total_cpu FROM marked GROUP BY 1, 2""")
+def window_absolute_cluster(spark, d):
+    """Windows that an old enough event closes as well, over events that arrive late."""
+    e = windows.anchored_arrivals(_late(cluster_view(spark, d), "timestamp"), F.col("t"), F.col("seq"), 60000, absolute=True)
+    return monitoring.total_cpu(e, 10, "window_id").withColumn("timestamp", F.col("timestamp").cast("string"))
+
+
+@query(f"""WITH RECURSIVE {_arrivals_sql(60000, 'abs(l.t - w.s)')} SELECT window_id, user_id AS job_id, CAST(arg_min(ts, event_id) AS VARCHAR) AS timestamp, round(sum(value), 2) AS sum_cpu, count(*) AS "count", round(avg(value), 4) AS mean_cpu FROM marked GROUP BY 1, 2""")
+def window_absolute_mean_cpu(spark, d):
+    e = windows.anchored_arrivals(_late(cluster_view(spark, d), "timestamp"), F.col("t"), F.col("seq"), 60000, absolute=True)
+    return monitoring.mean_cpu(e, 10, "window_id").withColumn("timestamp", F.col("timestamp").cast("string"))
+
+
+@query(f"WITH RECURSIVE {_arrivals_sql(1800, 'l.t - w.s')} SELECT event_id AS seq, window_id, window_start FROM marked")
+def window_arrivals(spark, d):
+    """The window of every event where late ones stay in the open window."""
+    e = _late(taxi_view(spark, d), "dropoff_datetime")
+    return windows.anchored_arrivals(e, F.col("t"), F.col("seq"), 1800).select("seq", "window_id", "window_start")
+
+
 @query("""WITH s AS (SELECT *, CAST(user_id % 8 AS INTEGER) AS task, unnest(generate_series(0, 2)) AS k FROM events),
  p AS (SELECT task, user_id, (CAST(floor(epoch(ts) / 600) AS BIGINT) - k) * 600 AS window_start FROM s)
  SELECT window_start, task, count(*) AS tuples, CAST(sum(length(CAST(user_id AS VARCHAR))) AS BIGINT) AS bytes, count(DISTINCT user_id) AS keys FROM p GROUP BY 1, 2""")
