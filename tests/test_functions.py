@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tributary.functions import bits, geo, stats
-from tributary.functions.murmur import hash32, hash128
+from tributary.functions.murmur import hash32, hash128, hash128_x86
 
 
 def one(spark, *cols):
@@ -20,6 +20,26 @@ def test_murmur_vectors():
     assert hash128(b"The quick brown fox jumps over the lazy dog", 0) == (0xE34BBC7BBC071B6C, 0x7A433CA9C49A9347)
 
 
+def test_murmur_verification_values():
+    """The published check of each form: the hash of the hashes of 256 keys."""
+    forms = {
+        0xB0F57EE3: lambda k, s: hash32(k, s).to_bytes(4, "little"),
+        0xB3ECE62A: lambda k, s: b"".join(h.to_bytes(4, "little") for h in hash128_x86(k, s)),
+        0x6384BA69: lambda k, s: b"".join(h.to_bytes(8, "little") for h in hash128(k, s)),
+    }
+    for want, form in forms.items():
+        told = b"".join(form(bytes(range(i)), 256 - i) for i in range(256))
+        assert int.from_bytes(form(told, 0)[:4], "little") == want
+
+
+def test_grid_cells_hold_their_centres(spark):
+    g = geo.grid(spark, 500.0, 40)
+    x, y = geo.cell(F.col("lat"), F.col("lon"), 500.0, 40)
+    assert g.count() == 1600 and g.where((x != F.col("x")) | (y != F.col("y"))).count() == 0
+    corners = [F.col(f"{k}_{c}") for k in ("ne", "se", "sw", "nw") for c in ("lat", "lon")]
+    assert g.where(~geo.inside(F.col("lat"), F.col("lon"), corners)).count() == 0
+
+
 @pytest.mark.parametrize("x", [0, 1, 2, 3, 12, 255, 256, 2**31 - 1, 2**53 + 1, 2**62 + 7])
 def test_bits(spark, x):
     c = F.lit(x).cast("long")

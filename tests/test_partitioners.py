@@ -89,4 +89,13 @@ def test_murmur_task_and_latencies(spark):
     df = spark.range(50).select(F.col("id").alias("k"), F.col("id").alias("seq"), (F.col("id") % 2).alias("w"))
     got = df.select("k", partitioners.murmur_task("k", F.lit(16), F.lit(313)).alias("t")).collect()
     assert all(r.t == partitioners.folded(partitioners.key_bytes(r.k), 313) % 16 for r in got)
-    assert [r.tuples for r in partitioners.latencies(df, "cn", 8, "k", "seq", "w").collect()] == [25, 25]
+    measured = partitioners.latencies(df, "cn", 8, "k", "seq", "w")
+    assert [r.tuples for r in measured.collect()] == [25, 25]
+    assert partitioners.latency_report(measured).first().windows == 1
+
+
+def test_latency_report(spark):
+    rows = spark.createDataFrame([(w, 1, float(w)) for w in range(1, 12)], "w long, tuples long, ms double")
+    got = partitioners.latency_report(rows).first()
+    assert (got.windows, got.mean, got.median, got.p90, got.p99) == (10, 5.5, 6.5, 10.0, 10.0)
+    assert partitioners.latency_report(rows, closed=False).first().windows == 11

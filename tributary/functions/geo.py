@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Earth radius in metres; centre of the grid's first cell.
@@ -46,6 +46,16 @@ def cell(lat: Column, lon: Column, side: float, cells: int) -> tuple[Column, Col
     return keep(n(east)), keep(n(south))
 
 
+def grid(spark: SparkSession, side: float, cells: int) -> DataFrame:
+    """The grid as a table: (x, y), counted from one to the east and south, with centre and corners as of ``square``."""
+    metre = 3.141592653589793 * EARTH_RADIUS / 180
+    at = spark.range(cells * cells).select((F.col("id") % cells + 1).cast("int").alias("x"), F.expr(f"int(id div {cells} + 1)").alias("y"))
+    at = at.withColumn("lat", F.lit(GRID_LAT) - (F.col("y") - 1) * F.lit(float(side) / metre))
+    at = at.withColumn("lon", F.lit(GRID_LON) + (F.col("x") - 1) * F.lit(float(side) / metre) / F.cos(F.radians("lat")))
+    names = [f"{corner}_{c}" for corner in ("ne", "se", "sw", "nw") for c in ("lat", "lon")]
+    return at.select("*", *[c.alias(n) for n, c in zip(names, square(F.col("lat"), F.col("lon"), side))])
+
+
 def inside(lat: Column, lon: Column, corners: list[Column]) -> Column:
     """Whether a point lies in a convex polygon of corners (lat, lon, lat, lon, ...) given clockwise."""
     k, test = len(corners) // 2, F.lit(True)

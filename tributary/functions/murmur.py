@@ -1,4 +1,4 @@
-"""MurmurHash3 of bytes (public-domain algorithm): the 128-bit form for 64-bit machines and the 32-bit form."""
+"""MurmurHash3 of bytes (public-domain algorithm): the 128-bit forms for 64- and 32-bit machines and the 32-bit form."""
 
 from __future__ import annotations
 
@@ -41,11 +41,44 @@ def hash32(data: bytes, seed: int = 0) -> int:
     for i in range(0, full, 4):
         h = _rotate(h ^ scramble(int.from_bytes(data[i : i + 4], "little")), 13, 32) * 5 + 0xE6546B64 & _M32
     h ^= scramble(int.from_bytes(data[full:], "little")) ^ len(data)
+    return _mix32(h)
+
+
+def _mix32(h: int) -> int:
     h = (h ^ (h >> 16)) * 0x85EBCA6B & _M32
     h = (h ^ (h >> 13)) * 0xC2B2AE35 & _M32
     return h ^ (h >> 16)
 
 
+#: Fixed values of the 32-bit machine's 128-bit form, per lane: multipliers, rotations before and after, constant added.
+_LANES = (
+    (0x239B961B, 0xAB0E9789, 15, 19, 0x561CCD1B),
+    (0xAB0E9789, 0x38B34AE5, 16, 17, 0x0BCAA747),
+    (0x38B34AE5, 0xA1E38B93, 17, 15, 0x96CD1C35),
+    (0xA1E38B93, 0x239B961B, 18, 13, 0x32AC3B17),
+)
+
+
+def hash128_x86(data: bytes, seed: int = 0) -> tuple[int, int, int, int]:
+    h, full = [seed] * 4, len(data) // 16 * 16
+
+    def scrambled(lane: int, word: bytes) -> int:
+        a, b, r = _LANES[lane][:3]
+        return _rotate(int.from_bytes(word, "little") * a & _M32, r, 32) * b & _M32
+
+    for i in range(0, full, 16):
+        for lane, (*_, r, c) in enumerate(_LANES):
+            h[lane] = (_rotate(h[lane] ^ scrambled(lane, data[i + 4 * lane : i + 4 * lane + 4]), r, 32) + h[(lane + 1) % 4]) * 5 + c & _M32
+    rest = data[full:]
+    h = [x ^ scrambled(lane, rest[4 * lane : 4 * lane + 4]) ^ len(data) for lane, x in enumerate(h)]
+
+    def spread(v: list[int]) -> list[int]:
+        first = sum(v) & _M32
+        return [first, *[x + first & _M32 for x in v[1:]]]
+
+    return tuple(spread([_mix32(x) for x in spread(h)]))
+
+
 def folded(data: bytes, seed: int) -> int:
     """The two halves of the 128-bit hash, xored."""
     h = hash128(data, seed)

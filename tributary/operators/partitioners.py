@@ -220,3 +220,16 @@ def latencies(df: DataFrame, name: str, n: int, key: str, seq: str, window: str,
         return pd.DataFrame({window: [pdf[window].iloc[0]], "tuples": [len(keys)], "ms": [trimmed_mean(took)]})
 
     return df.groupBy(window).applyInPandas(run, f"{window} {dict(df.dtypes)[window]}, tuples long, ms double")
+
+
+def latency_report(measured: DataFrame, closed: bool = True) -> DataFrame:
+    """``latencies`` to one row: windows, mean, median, p90 and p99 of ms. With ``closed`` the last window, which may be partial, is left out."""
+    from ..functions.stats import percentiles
+
+    window = measured.columns[0]
+    if closed:
+        last = measured.agg(F.max(window).alias("last_"))
+        measured = measured.join(F.broadcast(last)).where(F.col(window) < F.col("last_")).drop("last_")  # one row
+    one = measured.withColumn("all_", F.lit(1))
+    ranks = percentiles(one, "all_", "ms", {"median": 0.5, "p90": 0.9, "p99": 0.99})
+    return one.groupBy("all_").agg(F.count("*").alias("windows"), F.avg("ms").alias("mean")).join(ranks, "all_").drop("all_")

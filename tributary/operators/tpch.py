@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import partitioners
+
 Q1_DATE, Q3_DATE, SEGMENT = "1998-11-29", "1995-03-15", "BUILDING"
 
 
@@ -37,6 +39,27 @@ def pricing_summary(lineitem: DataFrame, keep: Column) -> DataFrame:
     )
 
 
+def pricing_summary_split(lineitem: DataFrame, keep: Column, strategy: str, n: int, scope: str) -> DataFrame:
+    """Query 1 in two phases: partial sums on the ``n`` tasks of a strategy, folded per ``scope``, then their merge.
+
+    Field hashing keeps a key on one task, so its partial sums are final and nothing is merged.
+    """
+    key, seq = F.concat("l_returnflag", "l_linestatus").alias("key"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq")
+    price = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    rows = lineitem.where(keep).select(
+        "l_returnflag", "l_linestatus", key, seq, scope, F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("base"), F.col("l_discount").alias("disc"),
+        price.alias("disc_price"), (price * (1 + F.col("l_tax"))).alias("charge"),
+    )
+    keys, sums = ["l_returnflag", "l_linestatus"], ("qty", "base", "disc", "disc_price", "charge")
+    part = partitioners.assign(rows, strategy, n, "key", "seq", (scope,)).groupBy("task", *keys).agg(*[F.sum(c).alias(c) for c in sums], F.count("*").alias("count_order"))
+    if strategy != "fld":
+        part = partitioners.merged(part, keys, {c: F.sum for c in (*sums, "count_order")})
+    return part.select(
+        *keys, *[F.round(c, 2).alias(f"sum_{name}") for c, name in (("qty", "qty"), ("base", "base_price"), ("disc_price", "disc_price"), ("charge", "charge"))],
+        *[F.round(F.col(c) / F.col("count_order"), 4).alias(f"avg_{name}") for c, name in (("qty", "qty"), ("base", "price"), ("disc", "disc"))], "count_order",
+    )
+
+
 def q1_keep(compat: bool = False) -> Column:
     """The date filter; ``compat``: any day of 1998 or before."""
     return F.year("l_shipdate") <= 1998 if compat else F.col("l_shipdate") <= F.lit(Q1_DATE).cast("timestamp")

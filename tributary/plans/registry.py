@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits, geo, stats
 from ..operators import metrics, monitoring, partitioners, sketches, taxi, tpch, windows
-from ..sources import sinks
+from ..sources import readers, schemas, sinks
 from ..sources.readers import parquet
 
 QUERIES: dict = {}
@@ -83,6 +83,18 @@ def tpch_q3_compat(spark, d):
     return tpch.shipping_priority(*[parquet(spark, d, t) for t in ("customer", "orders", "lineitem")], compat=True)
 
 
+def _q1_split(strategy: str):
+    def run(spark, d):
+        lines = parquet(spark, d, "lineitem").withColumn("source", F.pmod("l_orderkey", F.lit(16)))
+        return tpch.pricing_summary_split(lines, tpch.q1_keep(), strategy, 8, "source")
+
+    return run
+
+
+for _name in ("sh", "fld", "pk", "cn", "an"):
+    query(_Q1.format("l_shipdate <= TIMESTAMP '1998-11-29'"), f"tpch_q1_by_{_name}")(_q1_split(_name))
+
+
 @query("SELECT l_orderkey, l_linenumber, l_extendedprice, o_custkey, o_orderdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def join_lineitem_orders(spark, d):
     out = tpch.lineitem_orders(parquet(spark, d, "lineitem"), parquet(spark, d, "orders"))
@@ -316,6 +328,21 @@ def window_strategy_imbalance(spark, d):
     return per.groupBy("window_id").agg((F.max("n") - F.sum("n") / F.lit(6)).alias("imbalance"), F.max("n").alias("most"))
 
 
+_TABLE = [(name, n) for name in ("pk", "cn", "an") for n in (4, 6)]
+
+
+@query(" UNION ALL ".join(
+    f"""SELECT '{name}' AS strategy, {n} AS n, round(max(c) - avg(c), 4) AS tuples_imbalance, max(c) AS max_tuples, min(c) AS min_tuples, round(max(k) - avg(k), 4) AS keys_imbalance, max(k) AS max_keys, min(k) AS min_keys,
+ (SELECT count(*) FROM (SELECT s_nationkey FROM ({_fold_sql(name, n)}) GROUP BY 1 HAVING count(DISTINCT task) > 1)) AS split_keys
+ FROM (SELECT r.t, count(f.task) AS c, count(DISTINCT f.s_nationkey) AS k FROM range({n}) r(t) LEFT JOIN ({_fold_sql(name, n)}) f ON f.task = r.t GROUP BY 1)"""
+    for name, n in _TABLE
+))
+def part_metrics_table(spark, d):
+    """One row of load metrics per strategy and number of tasks."""
+    s = parquet(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("s_suppkey"), F.col("s_nationkey").cast("long").alias("s_nationkey"))
+    return metrics.strategy_table(s, ("pk", "cn", "an"), (4, 6), "s_nationkey", "s_suppkey")
+
+
 @query(f"WITH t AS ({_fold_sql('an', 6)}) SELECT s_suppkey, s_nationkey, task FROM t")
 def part_first_sight_tasks(spark, d):
     s = parquet(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("s_suppkey"), F.col("s_nationkey").cast("long").alias("s_nationkey"))
@@ -426,6 +453,107 @@ def distinct_what_if(spark, d):
     return out.select("event_type", (F.col("what_if") - F.col("now")).between(0, 2).alias("grows"))
 
 
+# Sources and sinks: each query writes a file form of a table and returns what its scan reads back.
+
+def _as_tbl(spark, d, name: str) -> DataFrame:
+    """A table in the columns of its file form; columns that the Parquet table lacks are null."""
+    have, t = parquet(spark, d, name), schemas.tpch(name)
+    return have.select(*[(F.col(f.name) if f.name in have.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in t.fields])
+
+
+_TBL = {
+    "region": "r_regionkey, r_name", "nation": "n_nationkey, n_name, n_regionkey", "customer": "c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment",
+    "supplier": "s_suppkey, s_name, s_nationkey, s_acctbal", "part": "p_partkey, p_name, p_brand, p_type, p_size, p_retailprice",
+    "orders": "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority",
+    "lineitem": "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate",
+}
+
+
+def _scan_tbl(name: str):
+    dates = {"orders": "o_orderdate", "lineitem": "l_shipdate"}.get(name)
+
+    def run(spark, d):
+        path = sinks.scratch(spark, name)
+        sinks.tbl(_as_tbl(spark, d, name), path)
+        out = readers.tbl(spark, path, name)
+        return out.select(*[F.col(c).cast("string").alias(c) if c == dates else F.col(c) for c in _TBL[name].split(", ")])
+
+    columns = [f"strftime({c}, '%Y-%m-%d') AS {c}" if c == dates else f"CAST({c} AS BIGINT) AS {c}" if c.endswith("key") else c for c in _TBL[name].split(", ")]
+    query(f"SELECT {', '.join(columns)} FROM {name}", f"scan_tbl_{name}")(run)
+
+
+for _name in _TBL:
+    _scan_tbl(_name)
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS \"table\", count(*) AS n FROM {name}" for name in _TBL))
+def scan_load_all(spark, d):
+    folder = sinks.scratch(spark, "tables")
+    for name in _TBL:
+        sinks.tbl(_as_tbl(spark, d, name), f"{folder}/{name}.tbl")
+    return readers.load_all(spark, folder, tuple(_TBL))
+
+
+def _raw_rides(spark, d) -> DataFrame:
+    """``events`` as raw rides: every 50th without a readable latitude, some beyond the grid."""
+    at = lambda m, step: F.pmod(F.col("event_id") * m, F.lit(1000)) * step
+    lat = F.when(F.col("event_id") % 50 == 0, F.lit("n/a")).otherwise((F.lit(41.474937) - at(3, 0.0011)).cast("string"))
+    off, stamp = F.expr("timestampadd(SECOND, 600, ts)"), lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    fare = F.round("value", 2)
+    cols = {
+        "medallion": F.col("user_id"), "hack_license": F.lit("h"), "pickup_datetime": stamp("ts"), "dropoff_datetime": stamp(off), "trip_time_in_secs": F.lit(600), "trip_distance": F.lit(1.5),
+        "pickup_longitude": F.lit(-74.913585) + at(7, 0.0013), "pickup_latitude": lat, "dropoff_longitude": F.lit(-74.913585) + at(11, 0.0013), "dropoff_latitude": F.lit(41.474937) - at(13, 0.0011),
+        "payment_type": F.lit("CSH"), "fare_amount": fare, "surcharge": F.lit(0), "mta_tax": F.lit(0.5), "tip_amount": F.lit(1.25), "tolls_amount": F.lit(0), "total_amount": F.round(fare + 1.75, 2),
+    }
+    return parquet(spark, d, "events").select(*[c.cast("string").alias(n) for n, c in cols.items()])
+
+
+def _cell_sql(lat: str, lon: str) -> tuple[str, str]:
+    metre = "CAST(111194.92664455873 AS DOUBLE)"
+    return f"CAST(floor(({lon} - (-74.913585)) * {metre} * cos(radians({lat})) / 500.0 + 1.5) AS INTEGER)", f"CAST(floor((41.474937 - {lat}) * {metre} / 500.0 + 1.5) AS INTEGER)"
+
+
+_RIDES = f"""SELECT CAST(user_id AS VARCHAR) AS medallion, strftime(ts + INTERVAL 600 SECOND, '%Y-%m-%d %H:%M:%S') AS dropoff, 600 AS trip_time_in_secs, {_cell_sql('plat', 'plon')[0]} AS pickup_x, {_cell_sql('plat', 'plon')[1]} AS pickup_y,
+ {_cell_sql('dlat', 'dlon')[0]} AS dropoff_x, {_cell_sql('dlat', 'dlon')[1]} AS dropoff_y, round(value, 2) AS fare_amount, CAST(1.25 AS DOUBLE) AS tip_amount
+ FROM (SELECT *, 41.474937 - (event_id * 3 % 1000) * CAST(0.0011 AS DOUBLE) AS plat, -74.913585 + (event_id * 7 % 1000) * CAST(0.0013 AS DOUBLE) AS plon, 41.474937 - (event_id * 13 % 1000) * CAST(0.0011 AS DOUBLE) AS dlat, -74.913585 + (event_id * 11 % 1000) * CAST(0.0013 AS DOUBLE) AS dlon
+  FROM events WHERE event_id % 50 <> 0)"""
+_RIDES = f"SELECT * FROM ({_RIDES}) WHERE greatest(pickup_x, pickup_y, dropoff_x, dropoff_y) <= 300 AND least(pickup_x, pickup_y, dropoff_x, dropoff_y) >= 1"
+_RIDE = ("medallion", "dropoff", "trip_time_in_secs", "pickup_x", "pickup_y", "dropoff_x", "dropoff_y", "fare_amount", "tip_amount")
+
+
+def _ride_rows(rides: DataFrame) -> DataFrame:
+    return rides.withColumn("dropoff", F.date_format("dropoff_datetime", "yyyy-MM-dd HH:mm:ss")).select(*_RIDE)
+
+
+@query(_RIDES)
+def scan_taxi_raw(spark, d):
+    path = sinks.scratch(spark, "rides")
+    sinks.csv(_raw_rides(spark, d), path)
+    return _ride_rows(readers.taxi_raw(spark, path))
+
+
+@query(_RIDES)
+def scan_taxi_compact(spark, d):
+    """Raw rides to the compact form and back."""
+    raw, compact = sinks.scratch(spark, "rides"), sinks.scratch(spark, "compact")
+    sinks.csv(_raw_rides(spark, d), raw)
+    sinks.compact_rides(readers.taxi_raw(spark, raw), compact)
+    return _ride_rows(readers.taxi_compact(spark, compact))
+
+
+@query("""SELECT event_id AS timestamp, user_id AS job_id, CASE WHEN event_id % 9 = 0 THEN 0 ELSE CAST(event_id % 4 AS INTEGER) END AS scheduling_class, CASE WHEN event_id % 11 = 0 THEN 0.0 ELSE value END AS cpu_request, event_id % 2 = 1 AS constraints FROM events""")
+def scan_cluster(spark, d):
+    """Task events of a folder; empty and unreadable numbers are 0."""
+    e, path = parquet(spark, d, "events"), sinks.scratch(spark, "cluster")
+    i = F.col("event_id")
+    rows = e.select(
+        i, F.lit(None).cast("string").alias("missing"), "user_id", F.lit(1).alias("task"), F.lit(2).alias("machine"), F.lit(0).alias("kind"), F.lit("u").alias("name"), F.when(i % 9 != 0, (i % 4).cast("string")).alias("class"), F.lit(9).alias("priority"),
+        F.when(i % 11 == 0, F.lit("x")).otherwise(F.col("value").cast("string")).alias("cpu"), F.lit(0.5).alias("ram"), F.lit(None).cast("string").alias("disk"), (i % 2).alias("constraints"),
+    )
+    sinks.csv(rows, path)
+    return readers.cluster_events(spark, path).select("timestamp", "job_id", "scheduling_class", "cpu_request", "constraints")
+
+
 # Functions
 
 @query("""WITH v AS (SELECT event_type, list_sort(list(round(value, 2))) AS a, count(*) AS n FROM events GROUP BY 1)
@@ -468,6 +596,11 @@ def geo_cell(spark, d):
     return _points(spark, d).select("event_id", x.alias("x"), y.alias("y"))
 
 
+@query("""SELECT x, y, round(lat, 7) AS lat, round(-74.913585 + (x - 1) * 500.0 / CAST(111194.92664455873 AS DOUBLE) / cos(radians(lat)), 7) AS lon FROM (SELECT CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, 41.474937 - (y - 1) * 500.0 / CAST(111194.92664455873 AS DOUBLE) AS lat FROM range(1, 301) a(x), range(1, 301) b(y))""")
+def geo_grid(spark, d):
+    return geo.grid(spark, 500.0, 300).select("x", "y", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"))
+
+
 @query("SELECT event_id, true AS inside FROM events")
 def geo_square(spark, d):
     """Every point lies in the square around it."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +20,10 @@ def tbl(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.schema(schemas.tpch(name)).option("sep", "|").option("dateFormat", "yyyy-MM-dd").csv(path)
 
 
-def load_all(spark: SparkSession, folder: str) -> dict[str, int]:
-    """Row count of each table of a folder of ``.tbl`` files."""
-    return {name: tbl(spark, f"{folder}/{name}.tbl", name).count() for name in schemas.TPCH}
+def load_all(spark: SparkSession, folder: str, names: tuple[str, ...] = tuple(schemas.TPCH)) -> DataFrame:
+    """(table, n): rows of each table of a folder of ``.tbl`` files."""
+    counts = [tbl(spark, f"{folder}/{name}.tbl", name).agg(F.lit(name).alias("table"), F.count("*").alias("n")) for name in names]
+    return reduce(DataFrame.unionByName, counts)
 
 
 def taxi_raw(spark: SparkSession, path: str, side: float = 500.0, cells: int = 300) -> DataFrame:

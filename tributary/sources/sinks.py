@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder all executors share, ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode only."""
+    sc = spark.sparkContext
+    home = sc.getConf().get("spark.checkpoint.dir")
+    if not home and not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{home or tempfile.mkdtemp(prefix='tributary-')}/{name}-{uuid.uuid4().hex}"
+
+
+def tbl(df: DataFrame, path: str) -> None:
+    """Write as a pipe-delimited table in the column order of its schema in ``schemas``; each row ends in a delimiter."""
+    row_text(df, "|").select(F.concat("line", F.lit("|"))).write.text(path)
+
+
 def csv(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """Write as CSV; an existing target is an error unless ``overwrite``."""
     df.write.mode("overwrite" if overwrite else "errorifexists").csv(path)
