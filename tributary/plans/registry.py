@@ -328,6 +328,13 @@ def window_strategy_imbalance(spark, d):
     return per.groupBy("window_id").agg((F.max("n") - F.sum("n") / F.lit(6)).alias("imbalance"), F.max("n").alias("most"))
 
 
+@query("SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, task FROM supplier JOIN (VALUES " + ", ".join(f"({k}, CAST({partitioners.folded(partitioners.key_bytes(k), partitioners.SEEDS[0]) % 6} AS INTEGER))" for k in range(25)) + ") c(k, task) ON k = s_nationkey")
+def part_field_tasks(spark, d):
+    """Field hashing by the first candidate's hash."""
+    task = partitioners.murmur_task(F.col("s_nationkey").cast("long"), F.lit(6), F.lit(partitioners.SEEDS[0]))
+    return parquet(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("s_suppkey"), task.alias("task"))
+
+
 _TABLE = [(name, n) for name in ("pk", "cn", "an") for n in (4, 6)]
 
 
@@ -601,11 +608,23 @@ def geo_grid(spark, d):
     return geo.grid(spark, 500.0, 300).select("x", "y", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"))
 
 
-@query("SELECT event_id, true AS inside FROM events")
+_CORNERS = ("ne", "se", "sw", "nw")
+
+
+def _corner_sql(name: str, bearing: float) -> str:
+    b, s = f"radians({bearing})", f"(sin(radians(lat)) * cos(d) + cos(radians(lat)) * sin(d) * cos(radians({bearing})))"
+    return f"round(degrees(asin({s})), 6) AS {name}_lat, round(degrees(radians(lon) + atan2(sin({b}) * sin(d) * cos(radians(lat)), cos(d) - sin(radians(lat)) * {s})), 6) AS {name}_lon"
+
+
+@query(f"""SELECT event_id, {', '.join(_corner_sql(k, 45.0 + 90 * i) for i, k in enumerate(_CORNERS))}, event_id % 50 * 10 + 5 < 250 AS inside
+ FROM (SELECT event_id, {_POINT}, 500.0 / sqrt(2.0) / 6371000.0 AS d FROM events)""")
 def geo_square(spark, d):
-    """Every point lies in the square around it."""
+    """The square around each point, and whether it holds a point some way to the east: it does for less than half a side."""
     p = _points(spark, d)
-    return p.select("event_id", geo.inside(F.col("lat"), F.col("lon"), geo.square(F.col("lat"), F.col("lon"), 500.0)).alias("inside"))
+    corners = geo.square(F.col("lat"), F.col("lon"), 500.0)
+    east = geo.destination(F.col("lat"), F.col("lon"), (F.col("event_id") % 50 * 10 + 5).cast("double"), F.lit(90.0))
+    names = [f"{k}_{c}" for k in _CORNERS for c in ("lat", "lon")]
+    return p.select("event_id", *[F.round(c, 6).alias(n) for n, c in zip(names, corners)], geo.inside(*east, corners).alias("inside"))
 
 
 @query("""SELECT event_id, CASE WHEN event_id = 0 THEN 0 ELSE event_id & -event_id END AS lowest, CASE WHEN event_id = 0 THEN 0 ELSE CAST(1 AS BIGINT) << CAST(floor(log2(event_id)) AS BIGINT) END AS highest,
